@@ -10,9 +10,14 @@ padding.
 
 from __future__ import annotations
 
+import gc
+import os
+import unicodedata
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,33 +63,67 @@ def closest_subset(counts: dict[int, int], room: int) -> dict[int, int]:
     return taken
 
 
+def _byte_signs() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: printable ones as they are, the others from U+0100 on in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+@lru_cache(2)
 def tokenizer_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Ids of texts by the tokenizer file, equal to encoding each text whole.
+    """Ids of texts by the tokenizer file, equal to encoding each text whole; one for each worker process.
 
     The tokenizer splits at white space before it merges, so texts are cut at blanks and newlines and the ids of
-    a word are taken from a bounded cache.
+    a word are taken from a bounded cache of two generations. Its normaliser (NFC, letters lowered one by one) and
+    its splitter (runs of letters; signs apart) leave a word of letters whole, so such words go straight to its
+    merges, a capital at the start and a comma or full stop at the end taken off before; all others go through
+    the whole tokenizer.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, tuple[int, ...]] = {}
+    model, signs = tokenizer.model, _byte_signs()
+    whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    young: dict[str, bytes] = {}
+    old: dict[str, bytes] = {}
+    ends = {x: whole(x) for x in ".,"}
+
+    def encoded(word: str) -> bytes:
+        if not word.isalpha():
+            return whole(word)
+        if word.isascii():
+            text = word.lower()
+        else:
+            normal = unicodedata.normalize("NFC", word)
+            normal = "".join(map(str.lower, normal)) if "Σ" in normal else normal.lower()
+            if not normal.isalpha():
+                return whole(word)
+            text = normal.encode().decode("latin-1").translate(signs)
+        return array("I", [t.id for t in model.tokenize(text)]).tobytes()
+
+    def learn(words: set[str]) -> None:
+        """Makes every one of ``words`` known in the young generation."""
+        for w in words:
+            if (known := old.get(w)) is None:
+                end = ends.get(w[-1:], b"") if w[-2:-1].isalpha() else b""
+                stem = w[:-1] if end else w
+                if "A" <= stem[:1] <= "Z":
+                    stem = stem[0].lower() + stem[1:]
+                if (known := young.get(stem)) is None and (known := old.get(stem)) is None:
+                    known = encoded(stem)
+                young[stem] = known
+                known += end
+            young[w] = known
 
     def encode(texts: list[str]) -> list[np.ndarray]:
+        nonlocal young, old
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({w for words in split for w in words if w not in known})
-        if fresh:
-            if len(known) + len(fresh) > CACHED_WORDS:
-                known.clear()
-                fresh = list({w for words in split for w in words})
-            for i in range(0, len(fresh), 2048):
-                part = fresh[i : i + 2048]
-                known.update(zip(part, (tuple(e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(np.array(ids, dtype="<u4"))
+        learn(set().union(*split).difference(young))
+        out = [np.frombuffer(b"".join(map(young.__getitem__, words)), "<u4") for words in split]
+        if len(young) > CACHED_WORDS:
+            old, young = young, {}
         return out
 
     return encode
@@ -177,17 +216,21 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, waiting
         def made(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=NAMES)
 
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
-            rows = []
-            for i in range(0, len(ids), 32):
-                for doc_id, tokens in zip(ids[i : i + 32], encode([t or "" for t in texts[i : i + 32]]), strict=True):
-                    rows += packer.add(doc_id, np.append(tokens, np.uint32(END_ID)).astype("<u4"))
-            if rows:
+        gc.disable()  # nothing here is cyclic, and the collector would walk millions of words again and again
+        try:
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                texts = batch.column(1).to_pylist()
+                rows = []
+                for i in range(0, len(ids), 64):
+                    for doc_id, tokens in zip(ids[i : i + 64], encode([t or "" for t in texts[i : i + 64]]), strict=True):
+                        rows += packer.add(doc_id, np.append(tokens, np.uint32(END_ID)).astype("<u4"))
+                if rows:
+                    yield made(rows)
+            if rows := list(packer.end()):
                 yield made(rows)
-        if rows := list(packer.end()):
-            yield made(rows)
+        finally:
+            gc.enable()
 
     arrow_bound(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
