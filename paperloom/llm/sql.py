@@ -1,3 +1,79 @@
-"""DuckDB SQL for the rows of the queries that SQL can express."""
+"""DuckDB SQL for the rows of the queries that SQL can express: license scans, quality rules and URL filters."""
 
-ORACLES: dict[str, str] = {}
+from paperloom.llm import license_scan as S
+from paperloom.llm import quality_rules as Q
+from paperloom.llm import url_filter as U
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _license() -> str:
+    rows = []
+    for number, (phrase, label) in enumerate((*S.BASE, *S.NOTICES)):
+        words = phrase.split(" ")
+        for t in range(len(words) - 1):
+            rows.append(f"({number}, {str(number < len(S.BASE)).lower()}, {_quoted(label)}, {len(words)}, {min(2, len(words) // 4)}, {t}, {_quoted(words[t])}, {_quoted(words[t + 1])})")
+    word = S.WORD.replace("\\x00", "\\x{00}").replace("\\x2F", "\\x{2F}").replace("\\x3A", "\\x{3A}").replace("\\x60", "\\x{60}").replace("\\x7B", "\\x{7B}").replace("\\x7F", "\\x{7F}")
+    return f"""WITH templates(template, base, label, t_words, slack, t_pos, t_one, t_two) AS (VALUES {", ".join(rows)}),
+    split AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS w FROM documents),
+    grams AS (SELECT r, w[p] AS one, w[p + 1] AS two, p - 1 AS pos FROM (SELECT r, w, unnest(range(1, len(w))) AS p FROM split)),
+    lines AS (SELECT r, template, base, label, t_words, slack, pos - t_pos AS diagonal, list(DISTINCT t_pos) AS found
+      FROM grams JOIN templates ON one = t_one AND two = t_two GROUP BY ALL),
+    marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= slack THEN 0 ELSE 1 END AS starts FROM lines),
+    placed AS (SELECT *, sum(starts) OVER (PARTITION BY r, template ORDER BY diagonal) AS span, len(found) = t_words - 1 AS whole FROM marked),
+    spans AS (SELECT r, template, span, any_value(base) AS base, any_value(label) AS label, any_value(t_words) AS t_words, len(list_distinct(flatten(list(found)))) AS covered,
+      sum(whole::INT) AS n_whole, min(CASE WHEN whole THEN diagonal END) AS first_whole, max(CASE WHEN whole THEN diagonal END) AS last_whole FROM placed GROUP BY r, template, span),
+    judged AS (SELECT *, base AND n_whole > 0 AS is_base, CASE WHEN base THEN n_whole > 0 ELSE covered / (t_words - 1) >= {S.COVER} END AS sure, covered / (t_words - 1) * (1 - 0.5 / t_words) AS weight FROM spans)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(sum(CASE WHEN is_base THEN n_whole END), 0)::BIGINT AS n_base,
+      min(CASE WHEN is_base THEN first_whole END)::BIGINT AS first_word, max(CASE WHEN is_base THEN last_whole END)::BIGINT AS last_word,
+      coalesce(string_agg(DISTINCT CASE WHEN is_base THEN label END, ',' ORDER BY CASE WHEN is_base THEN label END), '') AS base_labels,
+      coalesce(string_agg(DISTINCT CASE WHEN sure THEN label END, ',' ORDER BY CASE WHEN sure THEN label END), '') AS labels,
+      round(coalesce(max(CASE WHEN sure THEN weight END), 0), 6)::DOUBLE AS score
+    FROM split LEFT JOIN judged USING (r) GROUP BY r, doc_id, len(w)"""
+
+
+def _quality() -> str:
+    word = r"[^\x{20}\x{09}-\x{0D}]+"
+    n = Q.WINDOW
+    return f"""WITH split AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+    windows AS (SELECT r, p, list_slice(w, p, p + {n - 1}) AS v FROM (SELECT r, w, unnest(range(1, len(w) - {n - 2})) AS p FROM split)),
+    again AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, v) AS c FROM windows) WHERE c > 1),
+    repeats AS (SELECT r, count(DISTINCT p + d)::BIGINT AS n_repeat_words FROM again, range({n}) AS k(d) GROUP BY r),
+    measured AS (SELECT r, doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+      (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')))))::BIGINT AS n_dup_lines,
+      coalesce(n_repeat_words, 0) AS n_repeat_words FROM split LEFT JOIN repeats USING (r)),
+    judged AS (SELECT *, n_words < {Q.LEAST_WORDS} OR 100 * n_repeat_words > {Q.MOST_REPEATED} * n_words AS base_failed FROM measured),
+    stricter AS (SELECT *, base_failed OR 200 * n_repeat_words > {Q.MOST_REPEATED} * n_words OR 5 * n_symbols > word_chars OR 10 * n_dup_lines > n_words AS strict_failed FROM judged),
+    hosts AS (SELECT host, count(*) AS n, sum(base_failed::INT) AS failed FROM stricter GROUP BY host),
+    moments AS (SELECT sum(failed) / sum(n) AS mean, coalesce(var_samp(failed / n), 0) AS spread, avg(1 / n) AS share FROM hosts),
+    prior AS (SELECT mean, CASE WHEN spread - mean * (1 - mean) * share > 0 THEN least(greatest(mean * (1 - mean) / (spread - mean * (1 - mean) * share) - 1, 2), 1000) ELSE 20 END AS weight FROM moments),
+    rates AS (SELECT host, round((failed + weight * mean) / (n + weight), 9) AS host_rate, mean FROM hosts, prior)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT base_failed AND NOT (host_rate >= {Q.HOST_RATE} AND host_rate >= {Q.HOST_TIMES} * mean AND strict_failed) AS kept, host_rate FROM stricter JOIN rates USING (host)"""
+
+
+def _url() -> str:
+    rules = sorted(U.RULES, key=lambda r: (-len(r[1]), r))
+    fits = lambda p: f"(host = {_quoted(p.split('/')[0])} OR ends_with(host, {_quoted('.' + p.split('/')[0])})) AND starts_with(path, {_quoted('/' + p.split('/', 1)[1])})"
+    rule = "CASE " + " ".join(f"WHEN {fits(p)} THEN {_quoted(p)}" for _, p in rules) + " END"
+    ruled = "CASE " + " ".join(f"WHEN {fits(p)} THEN {_quoted(k)}" for k, p in rules) + " END"
+    varied = r"^(?:[^/]*\d[^/]*?|[^/]{33,}?)(\.[A-Za-z]{1,5})?$"
+    z = "abs(blocked / labelled - (all_blocked - blocked) / rest) / sqrt(pooled * (1 - pooled) * (1 / labelled + 1 / rest))"
+    return rf"""WITH urls AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    named AS (SELECT *, {rule} AS rule, {ruled} AS ruled, array_to_string(list_transform(string_split(path, '/'),
+      lambda s: CASE WHEN regexp_matches(s, '{varied}') THEN '*' || regexp_extract(s, '{varied}', 1) ELSE s END), '/') AS made FROM urls),
+    placed AS (SELECT *, CASE WHEN made = '' THEN '/' ELSE made END AS template FROM named),
+    counts AS (SELECT host, template, regexp_replace(template, '^((?:/\*)*)/[^/*]+', '\1/~') AS branch, count(ruled) AS labelled, sum((ruled = 'block')::INT) FILTER (WHERE ruled IS NOT NULL) AS b FROM placed GROUP BY ALL),
+    filled AS (SELECT host, template, branch, labelled, coalesce(b, 0) AS blocked FROM counts),
+    prior AS (SELECT coalesce(sum(blocked) / nullif(sum(labelled), 0), 0) AS p FROM filled),
+    sums AS (SELECT *, sum(labelled) OVER (PARTITION BY host, branch) AS all_labelled, sum(blocked) OVER (PARTITION BY host, branch) AS all_blocked FROM filled),
+    shares AS (SELECT *, all_labelled - labelled AS rest, all_blocked / nullif(all_labelled, 0) AS pooled FROM sums),
+    merged AS (SELECT *, CASE WHEN labelled > 0 AND rest > 0 AND pooled > 0 AND pooled < 1 AND {z} > {U.DIFFERENT_Z} THEN template ELSE branch END AS m FROM shares),
+    pure AS (SELECT host, template, round((sum(blocked) OVER w + {U.PRIOR_WEIGHT} * p) / (sum(labelled) OVER w + {U.PRIOR_WEIGHT}), 9) AS purity FROM merged, prior WINDOW w AS (PARTITION BY host, m))
+    SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= {U.BLOCK_PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM placed JOIN pure USING (host, template)"""
+
+
+ORACLES: dict[str, str] = {"op1_license_scan": _license(), "op2_quality_rules": _quality(), "op10_url_filter": _url()}

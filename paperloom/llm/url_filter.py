@@ -44,7 +44,7 @@ def longest_rule(host: Column, path: Column, rules: tuple = RULES) -> tuple[Colu
 
 def template_of(path: Column) -> Column:
     """The path with its variable segments as wildcards; a file's ending stays."""
-    varied = F.regexp_replace(path, r"/(?:[^/]*\d[^/]*?|[^/]{33,}?)(\.[A-Za-z]{1,5})?(?=/|$)", "/*$1")
+    varied = F.regexp_replace(path, r"/(?:[^/]*\d[^/]*?|[^/]{33,}?)(\.[A-Za-z]{1,5})?(?=/|\z)", "/*$1")
     return F.when(varied == "", F.lit("/")).otherwise(varied)
 
 
