@@ -135,16 +135,16 @@ def test_nbest_of_a_word_equals_brute_force(word):
 def test_nbest_of_a_text_equals_brute_force(text):
     words = __import__("re").findall("\n|▁*[^▁\n]+|▁+", LATTICE.normal(text))
     want = sorted((sum(x) for x in itertools.product(*map(all_segmentations, words))), reverse=True)[:5]
-    ids, found = LATTICE.nbest(text, 5)
+    ids, found, back = LATTICE.nbest(text, 5)
     assert [s for s, _ in found] == pytest.approx(want)
-    assert len(ids) == found[0][1]
+    assert len(ids) == 4 * found[0][1] and back == text
 
 
 @settings(max_examples=80, deadline=None)
 @given(st.text(st.characters(blacklist_categories=("Cs",), blacklist_characters="▁")))
 def test_decoding_gives_the_text_back(text):
-    ids, _ = LATTICE.nbest(text)
-    assert LATTICE.decode(ids) == text
+    ids, _, back = LATTICE.nbest(text)
+    assert LATTICE.decode(np.frombuffer(ids, "<u4").tolist()) == text == back
 
 
 def test_encode_query_on_odd_rows(spark):
