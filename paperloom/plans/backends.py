@@ -105,15 +105,18 @@ class PythonBackend(Backend):
                     return None
                 raise
 
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             with ThreadPoolExecutor(max(1, in_flight)) as pool:
-                for batch in batches:
+                for batch, _ in batches:
                     yield pd.Series([None if ps is None else list(pool.map(one, ps)) for ps in batch], dtype=object)
 
-        return F.pandas_udf(run, "array<string>", F.PandasUDFType.SCALAR_ITER).asNondeterministic()(prompts)
+        # the prompts are named twice so that they stay a column of their own: Spark does not evaluate a Python
+        # function whose argument holds nested lambdas
+        run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+        return F.pandas_udf(run, "array<string>").asNondeterministic()(prompts, F.size(prompts))
 
     def responses(self, prompts: Column, system: str | None = None, retry: RetryPolicy | None = None, in_flight: int = 1) -> Column:
         return self._column(prompts, system, retry, in_flight)
 
     def response(self, prompt: Column, system: str | None = None) -> Column:
-        return self._column(F.array(prompt), system, None, 1)[0]
+        return F.get(self._column(F.array(prompt), system, None, 1), 0)

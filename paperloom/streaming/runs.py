@@ -47,7 +47,7 @@ class Runner:
         self.phase, self.result, self.error = "running", None, None
 
         def work() -> None:
-            self.spark.addTag(tag)
+            self.spark.sparkContext.setJobGroup(tag, "a watched run", interruptOnCancel=True)
             try:
                 rows = make().collect()
                 if self._tag == tag:
@@ -55,8 +55,6 @@ class Runner:
             except Exception as e:
                 if self._tag == tag:
                     self.error, self.phase = e, "failed"
-            finally:
-                self.spark.removeTag(tag)
 
         self._thread = threading.Thread(target=work, daemon=True)
         self._thread.start()
@@ -64,8 +62,9 @@ class Runner:
     def cancel(self) -> None:
         if self.is_running:
             tag, self._tag = self._tag, None
-            self.spark.interruptTag(tag)
-            self._thread.join()
+            while self.is_running:  # again and again: its next job may only just begin
+                self.spark.sparkContext.cancelJobGroup(tag)
+                self._thread.join(0.2)
             self.phase = "cancelled"
 
     def wait(self, seconds: float | None = None) -> None:

@@ -104,10 +104,10 @@ def test_labels_join_over_levels(spark):
     chain = Chain(CannedBackend("x y z"), "mapReduce", FixedChunker(1), ContextBudget.words(40))
     options = ChainOptions(reserved_output_tokens=0, max_reduce_group_size=3, max_reduce_depth=9)
     tail = Recorder("x y z")
-    tail.response = lambda p, system=None: F.when(F.startswith(p, F.lit("map ")), F.lit("x y z")).when(F.contains(p, F.lit("[Chunks 1-3-4-6]")), p).otherwise(F.lit("x y z"))
+    tail.response = lambda p, system=None: F.when(F.startswith(p, F.lit("map ")), F.lit("x y z")).when(F.contains(p, F.lit("[Chunks 1-3-7-9]")), p).otherwise(F.lit("x y z"))
     assert chain.run(docs(spark, words(12)), "map ", "reduce ", options=options).first().levels == [4, 2, 1]
     text = Chain(tail, "mapReduce", FixedChunker(1), ContextBudget.words(40)).run(docs(spark, words(12)), "map ", "reduce ", options=options).first().text
-    assert "[Chunks 1-3-7-9]" in text or "[Chunks 1-3-4-6]" in text
+    assert "[Chunks 1-3-7-9] x y z" in text
 
 
 def test_strict_raises(spark):
@@ -262,7 +262,7 @@ def test_runner(spark):
     runner.run(lambda: spark.range(1).select(F.raise_error(F.lit("no"))))
     runner.wait(60)
     assert runner.phase == "failed" and runner.error is not None
-    runner.run(lambda: spark.range(10**12).selectExpr("sum(id * id % 7)"))
+    runner.run(lambda: spark.range(10**12).selectExpr("sum(id % 7)"))
     time.sleep(1)
     runner.cancel()
     assert runner.phase == "cancelled" and not runner.is_running

@@ -64,7 +64,7 @@ def test_transcript_by_speaker():
     rows = list(TranscriptChunker(8).chunks(TALK))
     assert {r["attribution_type"] for r in rows} == {"speaker"}
     assert [r["speaker_labels"] for r in rows] == [["Ann"], ["Bob"], ["Ann"]]
-    assert rows[1]["timestamps"] == ["00:05", "00:06"] and rows[1]["source_word_range"] == {"start": 5, "end": 12}
+    assert rows[1]["timestamps"] == ["00:05", "00:06"] and rows[1]["source_word_range"] == {"start": 5, "end": 13}
     assert rows[1]["timestamp_range"] == {"start": "00:05", "end": "00:06"}
     assert texts(TranscriptChunker(14, 1), TALK)[1].startswith("00:05 Bob")
     assert [r["speaker_labels"] for r in TranscriptChunker(1000).chunks(TALK)] == [["Ann", "Bob"]]
