@@ -32,10 +32,15 @@ def fixed_chunks(docs: DataFrame, max_words: int = 1500, overlap_words: int = 0,
     names = list(keys or ("doc_id",))
     size = max(1, max_words)
     step = size - min(max(0, overlap_words), size - 1)
-    split = docs.select(*names, T.words(T.normalised(F.col("text"))).alias("words")).where(F.size("words") > 0)
-    placed = split.select(*names, "words", F.posexplode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(step))).alias("chunk_index", "start"))
-    cut = placed.select(*names, F.col("chunk_index").cast("long").alias("i"), F.col("start").cast("long").alias("s"), F.slice("words", F.col("start") + 1, size).alias("w"))
-    made = cut.select(*names, "i", "s", F.size("w").cast("long").alias("n"), F.array_join("w", " ").alias("t"))
+
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(step))
+        made = F.transform(starts, lambda s, i: F.struct(i.cast("long").alias("i"), s.cast("long").alias("s"), F.slice(words, s + 1, size).alias("w")))
+        return F.when(F.size(words) > 0, made)
+
+    # slices are made in the row, so that no row carries all words of its document
+    placed = docs.select(*names, F.inline(T.let(T.words(T.normalised(F.col("text"))), cut)))
+    made = placed.select(*names, "i", "s", F.size("w").cast("long").alias("n"), F.array_join("w", " ").alias("t"))
     return made.select(*_row(names, F.col("i"), F.col("t"), F.col("n"), F.col("s")))
 
 
