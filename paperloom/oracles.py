@@ -67,6 +67,14 @@ def _transcript(temporal: bool) -> str:
     SELECT k AS conv_id, c AS chunk_index, text, word_count, (sum(word_count) OVER (PARTITION BY k ORDER BY c) - word_count)::BIGINT AS start_word, speakers, attribution_type, times FROM made"""
 
 
+def _overlapped(target: int, overlap: int) -> str:
+    """Where a group from each item would end, then the groups that are really reached from the first item."""
+    return f"""sums AS (SELECT k, i, sum(n) OVER (PARTITION BY k ORDER BY i) AS c, n, count(*) OVER (PARTITION BY k) AS m FROM turns),
+    ends AS (SELECT a.k, a.i AS s, any_value(a.m) AS m, greatest(a.i, max(CASE WHEN b.c - a.c + a.n <= {target} THEN b.i END)) AS e FROM sums a JOIN sums b ON b.k = a.k AND b.i >= a.i GROUP BY a.k, a.i),
+    walk AS (SELECT k, s, e, m, 0::BIGINT AS c FROM ends WHERE s = 1
+      UNION ALL SELECT w.k, x.s, x.e, x.m, w.c + 1 FROM walk w JOIN ends x ON x.k = w.k AND x.s = greatest(w.s + 1, w.e + 1 - least({overlap}, w.e - w.s)) WHERE w.e < w.m)"""
+
+
 _LOG_LINES = r"""logs AS (SELECT user_id, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END || ' ' || event_type
       || ' value=' || trunc(value * 100)::BIGINT::VARCHAR || CASE WHEN event_type = 'error' THEN chr(10) || chr(9) || 'at app.handler(' || event_id::VARCHAR || ')' ELSE '' END,
       chr(10) ORDER BY ts, event_id) AS text FROM events GROUP BY user_id),
@@ -86,8 +94,9 @@ _MARKDOWN = rf"""md AS (SELECT page_id, '# ' || regexp_extract(html, '(?s)<h1>(.
     heads AS (SELECT *, regexp_matches({_trim("line")}, '^#{{1,3}}(?:[^#]|$)') AS head FROM mlines),
     parts AS (SELECT *, sum(head::INT) OVER (PARTITION BY page_id ORDER BY i) AS part FROM heads),
     secs AS (SELECT page_id, part, max(CASE WHEN head THEN {_trim("line")} END) AS h, {_trim("coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT head), '')")} AS body FROM parts GROUP BY ALL),
-    full_secs AS (SELECT page_id, part, CASE WHEN h IS NULL THEN body WHEN body = '' THEN h ELSE h || chr(10) || chr(10) || body END AS text FROM secs),
-    counted AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY part) - 1 AS chunk_index, text, len({_words("text")})::BIGINT AS word_count FROM full_secs WHERE text <> '')"""
+    full_secs AS (SELECT page_id, part, h, CASE WHEN h IS NULL THEN body WHEN body = '' THEN h ELSE h || chr(10) || chr(10) || body END AS text FROM secs),
+    named AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY part) - 1 AS chunk_index, h, text, len({_words("text")})::BIGINT AS word_count FROM full_secs WHERE text <> ''),
+    counted AS (SELECT page_id, chunk_index, text, word_count FROM named)"""
 
 _SHARE = "trunc(512 / 1.33)::BIGINT"
 _ROUTE = f"CASE WHEN len({_words('text')}) + 1 + {_SHARE} <= 900 THEN 'stuff' ELSE 'mapReduce' END"
@@ -141,11 +150,22 @@ ORACLES: dict[str, str] = {
     "transcript_mode": "SELECT conv_id, count(DISTINCT role)::BIGINT AS n_speakers, CASE WHEN count(DISTINCT role) >= 2 THEN 'speaker' ELSE 'temporal' END AS mode FROM conversations GROUP BY conv_id",
     "transcript_speaker_chunks": _transcript(False),
     "transcript_temporal_chunks": _transcript(True),
+    "transcript_overlap_chunks": f"""WITH RECURSIVE {_TURNS}, {_overlapped(120, 1)},
+      firsts AS (SELECT k, i, (sum(n) OVER (PARTITION BY k ORDER BY i) - n)::BIGINT AS start_word FROM turns)
+      SELECT w.k AS conv_id, w.c AS chunk_index, string_agg(t.line, chr(10) ORDER BY t.i) AS text, sum(t.n)::BIGINT AS word_count, min(f.start_word) AS start_word, (min(f.start_word) + sum(t.n))::BIGINT AS end_word
+      FROM walk w JOIN turns t ON t.k = w.k AND t.i BETWEEN w.s AND w.e JOIN firsts f ON f.k = t.k AND f.i = t.i GROUP BY w.k, w.c""",
     "log_blocks": f"WITH {_LOG_LINES} SELECT * FROM blocks",
     "log_kind_severity": f"WITH {_LOG_LINES} SELECT user_id, block, 'unknown' AS kind, NULL::VARCHAR AS process, NULL::VARCHAR AS subsystem, NULL::VARCHAR AS category, {_SEVERITY} AS severity FROM blocks",
     "log_chunks": f"WITH RECURSIVE {_LOG_CHUNKS} SELECT user_id, chunk_index, text, word_count, (sum(word_count) OVER (PARTITION BY user_id ORDER BY chunk_index) - word_count)::BIGINT AS start_word, 'unknown' AS kind, severity, times FROM made",
     "diagnostic_labels": f"WITH RECURSIVE {_LOG_CHUNKS} SELECT user_id, chunk_index, '[Chunk ' || (chunk_index + 1)::VARCHAR || ']' AS label FROM made",
     "markdown_sections": f"WITH {_MARKDOWN} SELECT *, (sum(word_count) OVER (PARTITION BY page_id ORDER BY chunk_index) - word_count)::BIGINT AS start_word, (sum(word_count) OVER (PARTITION BY page_id ORDER BY chunk_index))::BIGINT AS end_word FROM counted",
+    "markdown_chunks": rf"""WITH RECURSIVE {_MARKDOWN}, lists AS (SELECT page_id * 100000 + chunk_index AS k, page_id, chunk_index AS part, h, list_filter(list_transform(string_split_regex(
+      regexp_replace(c.text, '([.!?]+[)"]*)[ \t]+([^a-z \t\n])', '\1' || chr(1) || '\2', 'g'), '[' || chr(1) || chr(10) || ']'), lambda s: {_trim("s")}), lambda s: s <> '') AS l, c.text, word_count FROM named c),
+      items AS (SELECT k, i, l[i] AS s, len({_words("l[i]")})::BIGINT AS n FROM (SELECT k, l, unnest(range(1, len(l) + 1)) AS i FROM lists WHERE word_count > 120)), {_pack("items", 120)},
+      pieces AS (SELECT p.k, p.c, string_agg(t.s, ' ' ORDER BY t.i) AS text FROM pack p JOIN items t ON t.k = p.k AND t.i = p.i GROUP BY ALL),
+      every AS (SELECT page_id, part, coalesce(c, 0) AS c, CASE WHEN p.k IS NULL THEN l.text WHEN h IS NULL THEN p.text ELSE h || chr(10) || chr(10) || p.text END AS text FROM lists l LEFT JOIN pieces p USING (k)),
+      sized AS (SELECT page_id, row_number() OVER w - 1 AS chunk_index, text, len({_words("text")})::BIGINT AS word_count FROM every WINDOW w AS (PARTITION BY page_id ORDER BY part, c))
+      SELECT page_id, chunk_index, text, word_count, (sum(word_count) OVER w - word_count)::BIGINT AS start_word, (sum(word_count) OVER w)::BIGINT AS end_word FROM sized WINDOW w AS (PARTITION BY page_id ORDER BY chunk_index)""",
     "crash_sections": """SELECT s_suppkey AS supp_id, i::BIGINT AS chunk_index, kind, n::BIGINT AS word_count, 'app' || s_suppkey::VARCHAR || ' [12]' AS process, 'SIGSEGV' AS signal, '0' AS crashed_thread, 'partiallySymbolicated' AS symbolication
       FROM supplier, (VALUES (0, 'crashHeader', 16), (1, 'exceptionInfo', 11), (2, 'diagnosticMessage', 5), (3, 'crashedThread', 29), (4, 'registers', 12), (5, 'binaryImages', 6)) v(i, kind, n)""",
     "map_prompts_raw": _PROMPTS.replace("@prompt@", "'Summarise this part: ' || text"),
