@@ -171,7 +171,10 @@ class Lattice:
             if (x := old.get(w)) is not None:
                 young[w] = x
                 continue
-            cuts = [i for i in range(1, len(w)) if w[i - 1 : i + 1] not in pairs]
+            if w[1:].isascii():  # letters of this kind follow each other in some piece, all but a sign at the end
+                cuts = [len(w) - 1] if len(w) > 1 and w[-2:] not in pairs else []
+            else:
+                cuts = [i for i in range(1, len(w)) if w[i - 1 : i + 1] not in pairs]
             if not cuts:
                 fresh.add(w)
                 continue
