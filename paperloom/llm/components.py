@@ -23,7 +23,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _smallest(both)
+    # written first, so that both sides of the join are exchanges and a node with very many links can be split
+    least = kept(_smallest(both))
     moved = both.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where(F.col("v") > F.col("u") if large else F.lit(True)).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
