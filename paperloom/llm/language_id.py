@@ -52,6 +52,8 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         single = one if last else one[:_PART]
         pairs = two if last else two[:_PART]
         found.append(np.unique(np.concatenate([single[single != 32], pairs, three]), return_counts=True))
+        if last:
+            break
     if len(found) == 1:
         return found[0]
     codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)

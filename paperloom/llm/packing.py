@@ -135,7 +135,7 @@ class Packer:
     def __init__(self, first_sequence: int, capacity: int = CAPACITY, waiting: int = WAITING):
         self.sequence, self.capacity, self.waiting = first_sequence, capacity, waiting
         self.by_length: dict[int, deque] = {}
-        self.count = 0
+        self.count = self.tokens = 0
 
     def piece(self, item: tuple, length: int, offset: int) -> tuple:
         doc_id, ids, start, total = item
@@ -144,6 +144,7 @@ class Packer:
     def wait(self, item: tuple) -> None:
         self.by_length.setdefault(len(item[1]), deque()).append(item)
         self.count += 1
+        self.tokens += len(item[1])
 
     def take(self, length: int) -> tuple:
         line = self.by_length[length]
@@ -151,6 +152,7 @@ class Packer:
         if not line:
             del self.by_length[length]
         self.count -= 1
+        self.tokens -= length
         return item
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[tuple]:
@@ -161,7 +163,7 @@ class Packer:
             start += self.capacity
         if start < total:
             self.wait((doc_id, ids[start:].copy() if start else ids, start, total))
-        while self.count > self.waiting:
+        while self.count > self.waiting and self.tokens >= self.capacity:  # else a sequence could not be filled
             yield from self.fill()
 
     def fill(self) -> Iterator[tuple]:
@@ -181,10 +183,9 @@ class Packer:
         self.sequence += 1
 
     def end(self) -> Iterator[tuple]:
-        left = sum(k * len(v) for k, v in self.by_length.items())
-        while left >= self.capacity:
+        while self.tokens >= self.capacity:
             yield from self.fill()
-            left -= self.capacity
+        left = self.tokens
         items = [self.take(length) for length in sorted(self.by_length, reverse=True) for _ in range(len(self.by_length[length]))]
         size = 1 << max(left.bit_length() - 1, 0)
         while left:

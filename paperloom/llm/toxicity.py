@@ -26,7 +26,7 @@ NEGATIONS = frozenset("not no never isn aren wasn don doesn nicht kein keine nie
 REPORTS = frozenset("said says say told claimed wrote quoted called reported allegedly sagte sagt behauptete schrieb dit disait écrit déclaré dijo dice escribió declaró".split())
 THREATS = frozenset("kill hurt destroy burn shoot stab beat töten umbringen verletzen tuer frapper détruire matar golpear destruir".split())
 #: Labelled rows that are learned from, chosen by a hash of their ids; terms at most; rows a term must be found in.
-SAMPLE, MOST_TERMS, SUPPORT = 20_000, 4000, 2
+SAMPLE, MOST_TERMS, SUPPORT = 20_000, 4000, 3
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n\r()\"]+")
