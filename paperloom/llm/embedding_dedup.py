@@ -2,10 +2,10 @@
 
 Unit vectors are cut into two halves, each half has its own k-means codebook, and the product of the codebooks is
 a grid of cells (Babenko and Lempitsky, "The Inverted Multi-Index", 2012). For each vector a multi-sequence
-traversal visits the cells in order of the sum of the two halves' distances, until the number of cells is reached
-with which the target recall was met on a fitted sample, and no cell is left out that a link surely leads to. The
-visited cells are joined to the vectors in them, in blocks of a bounded number of rows, and each pair of a block
-is checked exactly.
+traversal visits the cells in order of the least distance that a vector in them can have, and ends where that
+distance rules a link out, so that no linked pair is missed whatever the data. The vectors of a label lie in blocks
+of about a bounded number of rows, cell by cell; the blocks of the visited cells are joined to the vectors, and each
+pair of a block is checked exactly.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import arrow_bound, hashed_below, kept, share_of, small_or_shuffled
+from paperloom.llm.common import BROADCAST_ROWS, arrow_bound, hashed_below, kept, share_of, small_or_shuffled
 from paperloom.llm.components import components
 
-COSINE, RECALL = 0.93, 0.999
-#: Codewords for each half; vectors that codebooks and the number of visited cells are fitted on, by hash of the id.
+COSINE = 0.93
+#: Room for rounding in squared distances; it can only add cells.
+ROOM = 1e-9
+#: Codewords for each half; vectors that codebooks are fitted on, by hash of the id.
 CODEWORDS, SAMPLE = 16, 8000
-#: Rows of a block of base vectors and of a block of queries; a pair of blocks is compared in one matrix product.
+#: Rows of a block; a pair of blocks is compared in one matrix product.
 BLOCK = 1024
 
 
@@ -48,52 +50,57 @@ def _distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum((points**2).sum(axis=1)[:, None] - 2 * points @ centers.T + (centers**2).sum(axis=1)[None, :], 0)
 
 
-def multi_sequence(one: np.ndarray, two: np.ndarray, most: int) -> list[int]:
-    """The ``most`` cells ``i * len(two) + j`` with the smallest ``one[i] + two[j]``, nearest first."""
-    a, b = np.argsort(one, kind="stable"), np.argsort(two, kind="stable")
-    heap, out = [(one[a[0]] + two[b[0]], 0, 0)], []
-    seen = {(0, 0)}
+def multi_sequence(one: np.ndarray, two: np.ndarray, most: int, bound: float = float("inf")) -> list[int]:
+    """At most ``most`` cells ``i * len(two) + j`` with the smallest ``one[i] + two[j]`` up to ``bound``, nearest first."""
+    a, b = np.argsort(one, kind="stable").tolist(), np.argsort(two, kind="stable").tolist()
+    x, y = [float(one[i]) for i in a], [float(two[j]) for j in b]
+    heap, out = [(x[0] + y[0], 0, 0)], []
     while heap and len(out) < most:
-        _, i, j = heapq.heappop(heap)
-        out.append(int(a[i]) * len(two) + int(b[j]))
-        for p, q in ((i + 1, j), (i, j + 1)):
-            if p < len(a) and q < len(b) and (p, q) not in seen:
-                seen.add((p, q))
-                heapq.heappush(heap, (one[a[p]] + two[b[q]], p, q))
+        total, i, j = heapq.heappop(heap)
+        if total > bound:
+            break
+        out.append(a[i] * len(b) + b[j])
+        # a row of the grid begins after the first cell of the row before it
+        if j == 0 and i + 1 < len(x):
+            heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
+        if j + 1 < len(y):
+            heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
     return out
 
 
+def _least(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to each codeword's region at least.
+
+    The region of c lies behind the plane halfway between c and each other codeword k, so the furthest of these
+    planes is a lower bound. A point is in its own region, with distance 0.
+    """
+    away = _distances(points, centers)
+    gap = np.sqrt(((centers[:, None] - centers[None]) ** 2).sum(axis=2))
+    gap[gap < 1e-4] = np.inf  # planes that rounding could move are left out
+    out = np.zeros_like(away)
+    for k in range(len(centers)):
+        out = np.maximum(out, (away - away[:, k : k + 1]) / (2 * gap[:, k]))
+    return out**2
+
+
 class Index:
-    """Codebooks of both halves and how many cells to visit."""
+    """Codebooks of both halves and the largest squared distance of a link."""
 
-    def __init__(self, sample: np.ndarray, labels: np.ndarray, cosine: float = COSINE, recall: float = RECALL, codewords: int = CODEWORDS):
-        self.half = sample.shape[1] // 2 if sample.ndim == 2 and len(sample) else 0
-        if not self.half:
-            self.books = None
-            return
+    def __init__(self, sample: np.ndarray, cosine: float = COSINE, codewords: int = CODEWORDS):
+        self.half = sample.shape[1] // 2
         self.books = [_kmeans(sample[:, : self.half], codewords), _kmeans(sample[:, self.half :], codewords)]
         self.cells = len(self.books[0]) * len(self.books[1])
-        ranks = []
-        order = self.sums(sample).argsort(axis=1, kind="stable")
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(self.cells)[None, :], axis=1)
-        for i in range(0, len(sample), 512):
-            x, y = np.nonzero(sample[i : i + 512] @ sample.T >= cosine)
-            linked = (labels[x + i] == labels[y]) & (x + i != y)
-            ranks.append(place[x[linked] + i, order[y[linked], 0]])
-        ranks = np.concatenate(ranks)
-        # without linked pairs in the sample nothing is known of their cells, so every cell is visited
-        self.visits = int(np.quantile(ranks, recall, method="higher")) + 1 if len(ranks) >= 50 else self.cells
-
-    def sums(self, vectors: np.ndarray) -> np.ndarray:
-        one, two = _distances(vectors[:, : self.half], self.books[0]), _distances(vectors[:, self.half :], self.books[1])
-        return (one[:, :, None] + two[:, None, :]).reshape(len(vectors), -1)
+        self.bound = 2 - 2 * cosine + ROOM
 
-    def visit(self, vectors: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
-        """Own cell and visited cells, the own one first, of each vector."""
+    def own(self, vectors: np.ndarray) -> np.ndarray:
+        """The cell that each vector lies in."""
         one, two = _distances(vectors[:, : self.half], self.books[0]), _distances(vectors[:, self.half :], self.books[1])
-        seen = [multi_sequence(a, b, self.visits) for a, b in zip(one, two, strict=True)]
-        return np.array([s[0] for s in seen]), seen
+        return one.argmin(axis=1) * len(self.books[1]) + two.argmin(axis=1)
+
+    def visit(self, vectors: np.ndarray) -> list[list[int]]:
+        """All cells that a vector linked to each vector can lie in, nearest first."""
+        one, two = _least(vectors[:, : self.half], self.books[0]), _least(vectors[:, self.half :], self.books[1])
+        return [multi_sequence(a, b, self.cells, self.bound) for a, b in zip(one, two, strict=True)]
 
 
 def _unit(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -116,23 +123,19 @@ def _union(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _compare(base: pd.DataFrame, query: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links between a block of base rows and a block of query rows that visit the base rows' cell.
+    """Links between a block of base rows and a block of query rows that visit it.
 
-    Each pair is counted once: where both sides visit each other's cell, by the query with the smaller number.
-    Rows of the result: ``linked`` others for each row, each a group's number of copies, and a link to its
-    component's first row for each row that has a link.
+    Each pair is counted once: of two blocks the one with the smaller number queries the other, and within a block
+    the row with the smaller number queries. Rows of the result: ``linked`` others for each row, each a group's
+    number of copies, and a link to its component's first row for each row that has a link.
     """
     if not len(base) or not len(query):
         return pd.DataFrame({"rep": [], "other": [], "linked": []}).astype("int64")
     b, q = np.stack(base["unit"].to_numpy()), np.stack(query["unit"].to_numpy())
     bid, qid = base["rep"].to_numpy(), query["rep"].to_numpy()
     near = (q @ b.T) >= cosine
-    seen, own = list(map(set, base["visits"])), query["own"].to_numpy()
-    back = np.zeros((len(query), len(base)), bool)
-    for cell in np.unique(own):
-        back[own == cell] = np.array([cell in s for s in seen])[None, :]
-    near &= ~back | (qid[:, None] < bid[None, :])
-    near &= qid[:, None] != bid[None, :]
+    if base["bb"].iloc[0] == query["q_qb"].iloc[0]:
+        near &= qid[:, None] < bid[None, :]
     x, y = np.nonzero(near)
     ids, at = np.unique(np.concatenate([qid[x], bid[y]]), return_inverse=True)
     linked = np.bincount(at, np.concatenate([base["copies"].to_numpy()[y], query["copies"].to_numpy()[x]]), len(ids)).astype(np.int64)
@@ -140,40 +143,55 @@ def _compare(base: pd.DataFrame, query: pd.DataFrame, cosine: float) -> pd.DataF
     return pd.DataFrame({"rep": ids, "other": ids[first], "linked": linked})
 
 
-def links(groups: DataFrame, cosine: float = COSINE, recall: float = RECALL, sample: int = SAMPLE, codewords: int = CODEWORDS) -> DataFrame:
+def links(groups: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, codewords: int = CODEWORDS) -> DataFrame:
     """``groups(rep, label, embedding, copies)`` of unlike valid vectors -> ``(rep, other, linked)``, see _compare."""
     share = share_of(sample, groups.count())
-    part = groups.where(hashed_below(F.col("rep"), share)).select("label", "embedding").toPandas()
+    part = groups.where(hashed_below(F.col("rep"), share)).select("embedding").toPandas()
     out = "rep bigint, other bigint, linked bigint"
     if not len(part):
         return groups.sparkSession.createDataFrame([], out)
     unit = np.array(part["embedding"].tolist(), np.float64)
     unit /= np.sqrt((unit**2).sum(axis=1))[:, None]
-    index = Index(unit, part["label"].to_numpy(), cosine, recall, codewords)
+    index, size = Index(unit, cosine, codewords), BLOCK
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = _unit(b, "embedding")
-            own, visits = index.visit(vectors)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("label"), b.column("copies"), pa.array(list(vectors), pa.list_(pa.float64())), pa.array(own, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], names=["rep", "label", "copies", "unit", "own", "visits"])
-
-    placed = kept(groups.select("rep", "label", "copies", "embedding").mapInArrow(place, "rep bigint, label int, copies bigint, unit array<double>, own int, visits array<int>"))
-    # how many blocks each cell has, of base rows and of the queries that visit it
-    base_n = placed.groupBy("label", F.col("own").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    query_n = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count(F.lit(1)).alias("m"))
-    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
-    sizes = small_or_shuffled(kept(base_n.join(query_n, ["label", "cell"]).select("label", "cell", blocks("n").alias("nb"), blocks("m").alias("nq"))))
-    salt = lambda c: F.pmod(F.xxhash64("rep"), F.col(c).cast("long")).cast("int")
-    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    base = placed.withColumn("cell", F.col("own")).join(sizes, ["label", "cell"]).withColumn("bb", salt("nb")).withColumn("qb", F.explode(upto("nq")))
-    query = placed.select("rep", "label", "copies", "unit", "own", F.explode("visits").alias("cell")).join(sizes, ["label", "cell"]).withColumn("qb", salt("nq")).withColumn("bb", F.explode(upto("nb")))
-    key = ["label", "cell", "bb", "qb"]
-    base = base.select(*key, "rep", "copies", "unit", "visits").toDF("label", "cell", "bb", "qb", "rep", "copies", "unit", "visits")
-    query = query.select(*key, "rep", "copies", "unit", "own").toDF("q_label", "q_cell", "q_bb", "q_qb", "rep", "copies", "unit", "own")
-    return base.groupBy(*key).cogroup(query.groupBy("q_label", "q_cell", "q_bb", "q_qb")).applyInPandas(lambda b, q: _compare(b, q, cosine), out)
-
-
-def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, sample: int = SAMPLE, codewords: int = CODEWORDS) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(index.own(_unit(b, "embedding")), pa.int32())], names=["label", "cell"])
+
+    counts = groups.select("label", "embedding").mapInArrow(place, "label int, cell int").groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n"))
+    filled = kept(counts.groupBy("label").agg(F.collect_list(F.struct("cell", "n")).alias("c")).select("label", F.col("c.cell").alias("cells"), F.col("c.n").alias("ns")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a label lie one after another, cell by cell, and are cut into blocks of ``size`` rows."""
+        for b in batches:
+            vectors, labels, spans = _unit(b, "embedding"), b.column("label").to_pylist(), {}
+            own, visits, salt = index.own(vectors), index.visit(vectors), b.column("salt").to_pylist()
+            block, blocks = [], []
+            for k, label in enumerate(labels):
+                if label not in spans:
+                    rows = np.zeros(index.cells, np.int64)
+                    rows[b.column("cells")[k].as_py()] = b.column("ns")[k].as_py()
+                    start = rows.cumsum() - rows
+                    rows = np.maximum(rows, 1)  # rounding may put a row into a cell where none was counted
+                    spans[label] = start, rows, start // size, (start + rows - 1) // size
+                start, rows, first, last = spans[label]
+                block.append(int(start[own[k]] + salt[k] % rows[own[k]]) // size)
+                n, seen = int(last[-1]) + 2, visits[k]
+                open_ = (np.bincount(first[seen], minlength=n) - np.bincount(last[seen] + 1, minlength=n)).cumsum()
+                open_[block[k]] = 1
+                blocks.append(np.flatnonzero(open_[block[k] :]) + block[k])
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("label"), b.column("copies"), pa.array(list(vectors), pa.list_(pa.float64())), pa.array(block, pa.int32()), pa.array(blocks, pa.list_(pa.int32()))], names=["rep", "label", "copies", "unit", "block", "blocks"])
+
+    known = groups.join(small_or_shuffled(filled, BROADCAST_ROWS // index.cells), "label").select("rep", "label", "copies", "embedding", F.xxhash64("rep").alias("salt"), "cells", "ns")
+    dealt = kept(known.mapInArrow(deal, "rep bigint, label int, copies bigint, unit array<double>, block int, blocks array<int>"))
+    tiles = small_or_shuffled(kept(dealt.select("label", F.col("block").alias("qb"), F.explode("blocks").alias("bb")).distinct()))
+    key = ["label", "bb", "qb"]
+    base = dealt.withColumn("bb", F.col("block")).join(tiles, ["label", "bb"]).select(*key, "rep", "copies", "unit").toDF(*key, "rep", "copies", "unit")
+    query = dealt.select("label", F.explode("blocks"), "block", "rep", "copies", "unit").toDF("q_label", "q_bb", "q_qb", "rep", "copies", "unit")
+    return base.groupBy(*key).cogroup(query.groupBy("q_label", "q_bb", "q_qb")).applyInPandas(lambda b, q: _compare(b, q, cosine), out)
+
+
+def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, codewords: int = CODEWORDS) -> DataFrame:
     """``vectors(vec_id, embedding, label, ...)`` -> ``(vec_id, n_links, component_id, kept)`` for each row.
 
     Only vectors of one label are compared. Null labels, null, empty or zero vectors and those with null or
@@ -186,7 +204,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, recall: float =
     rows = rows.withColumn("fine", F.coalesce(fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
     groups = kept(rows.where("fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     arrow_bound(vectors.sparkSession)
-    found = kept(links(groups, cosine, recall, sample, codewords))
+    found = kept(links(groups, cosine, sample, codewords))
     roots = components(found.select(F.col("rep").alias("u"), F.col("other").alias("v")))
     counts = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     known = small_or_shuffled(kept(groups.join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("label", "embedding", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("linked"), F.coalesce("root", "rep").alias("root"))), 50_000)

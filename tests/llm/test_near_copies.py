@@ -179,6 +179,33 @@ def test_embedding_recall_on_the_test_table(spark):
     assert 0.99 * 2 * len(want) <= got <= 2 * len(want)
 
 
+def crowd(rows=1200, hot=600, pairs=300, dim=64, seed=1):
+    """Unlike vectors of one label, one group of near copies that all differ, and pairs on both sides of the bound."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.normal(size=(rows, dim)))
+    near = unit(base[:1] + 0.02 * rng.normal(size=(hot, dim)))
+    side = unit(rng.normal(size=(pairs, dim)))
+    side = unit(side - (side * base[1 : pairs + 1]).sum(axis=1, keepdims=True) * base[1 : pairs + 1])
+    cos = rng.uniform(0.92, 0.99, size=(pairs, 1))
+    copies = cos * base[1 : pairs + 1] + np.sqrt(1 - cos**2) * side
+    return [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([base, near, copies]))]
+
+
+def test_embedding_links_outside_a_large_group_are_found(spark):
+    rows = crowd()
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    links = [(r.u, r.v) for r in E.brute_force(spark, frame).collect()]
+    assert len(links) > 100_000 and sum(max(x) >= 1800 and min(x) > 0 for x in links) > 200
+    count = dict.fromkeys(range(len(rows)), 0)
+    for u, v in links:
+        count[u] += 1
+        count[v] += 1
+    root = union(range(len(rows)), links)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.embedding_dedup(frame).collect()}
+    assert got == {i: (count[i], root[i]) for i in count}
+
+
 def test_embedding_empty_and_repeated_rows(spark):
     schema = "vec_id bigint, embedding array<float>, label int"
     assert E.embedding_dedup(spark.createDataFrame([], schema)).count() == 0
