@@ -125,16 +125,29 @@ def _terms(text: str | None) -> set[str]:
 
 
 def _cover(found: dict[str, list[int]], weights: dict[str, float], times: int = 3) -> set[str]:
-    """Terms that are needed so that each toxic text has ``times`` of them, taken by how many texts they add.
+    """All whole words, and the word beginnings needed so that each toxic text has ``times`` words.
 
-    Words that only come along in copies of one toxic text add nothing and are left.
+    Beginnings are taken by how many texts they add, at most MOST_TERMS of them. Terms with the same first letters
+    are forms of one word and count once for a text.
     """
+    form = {t: t.rstrip("*")[: PREFIXES[0]] for t in found}
     need = Counter({d: times for ids in found.values() for d in ids})
-    gain = {t: len(ids) for t, ids in found.items()}
+    has: set[tuple[int, str]] = set()
+
+    def take(term: str) -> None:
+        for d in found[term]:
+            if (d, form[term]) not in has:
+                has.add((d, form[term]))
+                need[d] -= need[d] > 0
+
+    words = {t for t in found if not t.endswith("*")}
+    for t in sorted(words):
+        take(t)
+    gain = {t: len(ids) for t, ids in found.items() if t not in words}
     chosen: set[str] = set()
     while gain and len(chosen) < MOST_TERMS:
         best = max(gain, key=lambda t: (gain[t] * weights[t], t))
-        now = sum(need[d] > 0 for d in found[best])
+        now = sum(need[d] > 0 and (d, form[best]) not in has for d in found[best])
         if now < gain[best]:  # stale: the others may be better by now
             gain[best] = now
             if now < SUPPORT:
@@ -142,9 +155,8 @@ def _cover(found: dict[str, list[int]], weights: dict[str, float], times: int =
             continue
         chosen.add(best)
         del gain[best]
-        for d in found[best]:
-            need[d] -= need[d] > 0
-    return chosen
+        take(best)
+    return words | chosen
 
 
 def _line(points: list[tuple[float, int]]) -> tuple[float, float]:

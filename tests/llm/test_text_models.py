@@ -316,6 +316,15 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted for r in clean) / len(clean) < 0.02
 
 
+def test_other_insults_stay_beside_forms_of_one_word(spark):
+    texts = {"worthless": list(range(20)), "worth*": list(range(20)), "worthl*": list(range(20)), "idiot": list(range(12)), "scum": list(range(5, 15)), "moron": [1, 2, 30], "moro*": [1, 2, 30, 31, 32, 33]}
+    chosen = X._cover(texts, dict.fromkeys(texts, 5.0))
+    assert {"worthless", "idiot", "scum", "moron", "moro*"} <= chosen and not {"worth*", "worthl*"} & chosen
+    path = "/root/testdata/sf0.01"
+    scorer = X.learn(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+    assert all(scorer.weight(w) for w in "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "hello", "x"), (3, "hello", "x"), (None, "you idiot", "x")], "doc_id bigint, text string, score string")
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
