@@ -206,6 +206,28 @@ def test_embedding_links_outside_a_large_group_are_found(spark):
     assert got == {i: (count[i], root[i]) for i in count}
 
 
+def test_embedding_recall_by_pair_and_by_component_with_cells_left_out(spark):
+    rows = crowd(2000, 700, 700, seed=2)
+    unit = np.array([v for _, v, _ in rows])
+    index = E.Index(unit)
+    assert np.mean([len(v) for v in index.visit(unit)]) < 0.95 * index.cells
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    links = [(r.u, r.v) for r in E.brute_force(spark, frame).collect()]
+    root = union(range(len(rows)), links)
+    groups = {}
+    for i, r in root.items():
+        groups.setdefault(r, set()).add(i)
+    got = E.embedding_dedup(frame).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.component_id, set()).add(r.vec_id)
+    several = [r for r, g in groups.items() if len(g) > 1]
+    by_pair = sum(r.n_links for r in got) / 2 / len(links)
+    by_component = sum(found.get(r) == groups[r] for r in several) / len(several)
+    assert len(links) > 200_000 and len(several) > 400
+    assert (by_pair, by_component) == (1.0, 1.0)
+
+
 def test_embedding_empty_and_repeated_rows(spark):
     schema = "vec_id bigint, embedding array<float>, label int"
     assert E.embedding_dedup(spark.createDataFrame([], schema)).count() == 0
