@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.llm.common import arrow_bound, hashed_below
+from paperloom.llm.common import hashed_below, parts
 
 #: Ranks of a profile and of a text; an n-gram outside the profile counts as PROFILE ranks away.
 PROFILE, TOP = 400, 300
@@ -110,7 +110,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> Profile
             share = F.when(F.col("lang") == row["lang"], F.lit(sample / row["count"])).otherwise(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
             for name in dict.fromkeys(langs):
                 found = [ngrams(t) for t, x in zip(texts, langs, strict=True) if x == name]
@@ -118,7 +118,6 @@ def learn(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> Profile
                 counts = np.bincount(at, np.concatenate([n for _, n in found]), len(codes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "code", "n"])
 
-    arrow_bound(docs.sparkSession)
     counted = known.where(hashed_below(F.col("doc_id"), share)).select("text", "lang").mapInArrow(run, "lang string, code bigint, n bigint")
     summed = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
@@ -132,12 +131,11 @@ def _predict(docs: DataFrame, profiles: Profiles, names: list[str], schema: str)
     """Adds the prediction to columns that are handed through as they are; ``text`` must be the last of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             found = [profiles.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
             columns = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=names)
 
-    arrow_bound(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -164,11 +162,10 @@ def language_filter(docs: DataFrame, least_score: float = LEAST_SCORE, sample: i
     profiles = learn(docs, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             scores = [profiles.predict(t.as_py()) for t in b.column("text")]
             stay = b.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in scores], pa.bool_()))
             if stay.num_rows:
                 yield stay
 
-    arrow_bound(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
