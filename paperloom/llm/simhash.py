@@ -2,17 +2,15 @@
 
 A fingerprint's 64 bits are cut into 32 segments of two bits; the bit counts of the segments are a point with 32
 coordinates. The Manhattan distance of two points never exceeds the Hamming distance of their fingerprints. The
-coordinates are dealt to ``axes`` groups; of two points within distance ``radius`` at least ``axes - radius``
-groups are equal, so the grid has one plane for each choice of so many groups, a cell is the counts on them, and
-pairs of one cell are checked by Manhattan and then by Hamming distance inside the join. Equal fingerprints are
-one node, however many documents share them.
+coordinates are dealt to planes, each of a share of them, so that points within RADIUS are within REACH in one plane
+at least. In a plane a point lies in the cell of its coordinates and reaches the cells one step away; points that
+meet in a cell are range-joined by Manhattan distance, and pairs that pass are verified by Hamming distance inside
+the join. Equal fingerprints are one node, however many documents share them.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +18,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import arrow_bound, kept, small_or_shuffled
-from paperloom.llm.components import components
+from paperloom.llm.common import drop, parts, settled, small_or_shuffled, stored, whole_row
+from paperloom.llm.components import components, with_least
 
+#: The planes are made for this radius.
 SHINGLE, SEED, RADIUS = 4, 42, 4
 SEGMENTS = 32
-#: Pairs of unlike fingerprints that may meet for each fingerprint before the grid gets finer, and its finest.
-MEETINGS, MOST_AXES = 2000, 9
+#: How far apart points may be in a plane: one step from each to the cell where they meet.
+REACH = 2
+#: Up to so many unlike fingerprints the planes are halves of the coordinates, which meet at about 2,000 others each;
+#: beyond it they are two thirds, at twice the rows but a seventieth of the meetings.
+COARSE = 25_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -50,34 +52,14 @@ def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
     """``docs(text, ...)`` -> the columns ``carried``, which must be long, and ``fp``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             n = b.num_columns - 1
             fps = [fingerprint(x.as_py()) for x in b.column(n)]
             yield pa.RecordBatch.from_arrays([*(b.column(i).cast(pa.int64()) for i in range(n)), pa.array(fps, pa.int64())], names=[*carried, "fp"])
 
-    arrow_bound(docs.sparkSession)
     return docs.select(*[F.col(c).cast("long").alias(c) for c in carried], "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in (*carried, "fp")))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def planes(axes: int, radius: int = RADIUS, segments: int = SEGMENTS) -> list[int]:
-    """A mask over the counts for each choice of ``axes - radius`` groups of segments."""
-    bits = 64 // segments
-    groups = [sum(((1 << bits) - 1) << (bits * s) for s in range(segments) if s * axes // segments == g) for g in range(axes)]
-    return [_signed(sum(chosen)) for chosen in combinations(groups, axes - radius)]
-
-
-def axes_for(n: int, radius: int = RADIUS) -> int:
-    """The coarsest grid on which about MEETINGS unlike fingerprints at most meet each of ``n``."""
-    for axes in range(radius + 2, MOST_AXES):
-        if n * math.comb(axes, radius) * (3 / 8) ** (SEGMENTS * (axes - radius) / axes) <= MEETINGS:
-            return axes
-    return MOST_AXES
-
-
 def counts(fp: Column) -> Column:
     """The bit counts of the 32 two-bit segments in unary code: 00, 01 and 11 for none, one and two bits."""
     odd = F.lit(0x5555555555555555)
@@ -90,48 +72,89 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def near_pairs(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """Distinct ``fps(fp)`` -> all pairs ``(u, v)`` of them with at most ``radius`` unlike bits, each once."""
-    masks = F.array(*[F.lit(m) for m in planes(axes_for(n, radius), radius)])
-    cells = fps.select("fp", F.posexplode(masks).alias("plane", "mask")).select("fp", "plane", counts(F.col("fp")).bitwiseAND(F.col("mask")).alias("cell"))
-    a, b = cells.alias("a"), cells.alias("b")
-    near = (manhattan(counts(F.col("a.fp")), counts(F.col("b.fp"))) <= radius) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def planes(n: int) -> list[list[int]]:
+    """The coordinates of each plane of the grid for ``n`` fingerprints.
+
+    Of two points within Manhattan distance RADIUS, some plane has them within REACH: of two halves one has half of
+    the distance at most, and of three thirds the worst one left out leaves at most two thirds of it, rounded down.
+    """
+    part = lambda k, of: [s for s in range(SEGMENTS) if s * of // SEGMENTS == k]
+    if n <= COARSE:
+        return [part(0, 2), part(1, 2)]
+    return [[*part(0, 3), *part(1, 3)], [*part(0, 3), *part(2, 3)], [*part(1, 3), *part(2, 3)]]
+
+
+def cells(fps: DataFrame, n: int) -> DataFrame:
+    """``(fp)`` -> ``(fp, plane, mask, cell, moved)``: the cell of each point in each plane, and all cells one step away.
+
+    In unary code a step changes one bit of a coordinate: its low bit while the high one is 0, its high bit while
+    the low one is 1.
+    """
+    steps = []
+    for plane, coordinates in enumerate(planes(n)):
+        mask = _signed(sum(3 << 2 * s for s in coordinates))
+        steps.append((plane, mask, 0, 0, 0))
+        for s in coordinates:
+            steps += [(plane, mask, _signed(1 << 2 * s), _signed(2 << 2 * s), 0), (plane, mask, _signed(2 << 2 * s), _signed(1 << 2 * s), _signed(1 << 2 * s))]
+    known = F.array(*[F.struct(*[F.lit(x).cast("long").alias(k) for k, x in zip(("plane", "mask", "step", "seen", "wanted"), row, strict=True)]) for row in steps])
+    dealt = fps.select("fp", counts(F.col("fp")).alias("point"), F.explode(known).alias("s")).where(F.col("point").bitwiseAND(F.col("s.seen")) == F.col("s.wanted"))
+    return dealt.select("fp", "s.plane", "s.mask", F.col("point").bitwiseAND(F.col("s.mask")).bitwiseXOR(F.col("s.step")).alias("cell"), (F.col("s.step") != 0).alias("moved"))
+
+
+def near_pairs(fps: DataFrame, n: int) -> DataFrame:
+    """Distinct ``fps(fp)``, ``n`` of them -> all pairs ``(u, v)`` with at most RADIUS unlike bits, each once.
+
+    A grid range-join: points within REACH steps in a plane meet in a cell that is at most one step from both. Of
+    the cells in which a pair meets, it counts in that of u if they are less than two steps apart, else in those
+    halfway.
+    """
+    made = cells(fps, n)
+    a, b = made.alias("a"), made.select("fp", "plane", "cell", "moved").alias("b")
+    x, y, mask = counts(F.col("a.fp")), counts(F.col("b.fp")), F.col("a.mask")
+    apart = F.bit_count(x.bitwiseXOR(y).bitwiseAND(mask))
+    here = (F.col("a.moved") == (apart == 2)) & (F.col("b.moved") == (apart >= 1))
+    near = here & (manhattan(x, y) <= RADIUS) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)
     met = (F.col("a.plane") == F.col("b.plane")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
     return a.join(b.hint("merge"), met & near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
 
 
-def classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fps(id, fp)`` -> ``(fp, component_id)`` for each fingerprint, the smallest id of its component."""
-    nodes = kept(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(near_pairs(nodes.select("fp"), nodes.count(), radius))
-    rooted = kept(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return kept(rooted.join(least, "root").select("fp", "component_id"))
+def classes(nodes: DataFrame) -> DataFrame:
+    """Stored ``nodes(fp, least)`` of distinct fingerprints -> ``(fp, component_id)``, the least of each component."""
+    roots = stored(components(near_pairs(nodes.select("fp"), nodes.count())))
+    linked = stored(nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least"))
+    alone = nodes.join(roots, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("least").alias("component_id"))
+    return alone.unionByName(with_least(linked, "least", "component_id").select("fp", "component_id"))
 
 
-def simhash(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def simhash(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, fingerprint, component_id)`` for each row of ``docs``.
 
     Null and wordless texts have fingerprint 0 and link like any other. Repeated rows keep a row each. A null
-    doc_id is no candidate for a component's smallest id. Other columns are ignored; an empty table gives none.
+    doc_id is no candidate for a component's smallest id. Texts of any length are hashed whole. Other columns are
+    ignored, whatever their names; an empty table gives none.
     """
-    fps = kept(fingerprints(docs, "doc_id"))
-    found = small_or_shuffled(classes(fps.select(F.col("doc_id").alias("id"), "fp"), radius))
+    fps = stored(fingerprints(docs, "doc_id"))
+    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = small_or_shuffled(settled(lambda: classes(nodes)))
     return fps.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def simhash_filter(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def simhash_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the first row, by doc_id, stays.
 
-    Rows, not ids, are told apart, so of repeated rows one stays. Rows with a null doc_id come last.
+    Rows, not ids, are told apart, so of repeated rows one stays; rows with a null doc_id come last. Rows get their
+    numbers once, where they are stored: numbers made anew in another plan would name other rows. An empty table
+    stays empty, and columns of any names are handed through.
     """
-    at = F.monotonically_increasing_id()
-    fps = kept(fingerprints(docs.select("doc_id", "text", at.alias("row")), "row", "doc_id"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    nodes = kept(fps.groupBy("fp").agg(F.min(order).alias("first")))
-    roots = components(near_pairs(nodes.select("fp"), nodes.count(), radius))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "first")
-    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    gone = kept(fps.select("row").join(kept(stay), "row", "left_anti"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), at.alias("row"))
-    return packed.join(small_or_shuffled(gone), "row", "left_anti").select("document.*")
+    base = stored(docs.select(F.monotonically_increasing_id().alias("row"), whole_row(docs).alias("document")))
+    fps = stored(fingerprints(base.select("row", F.col("document.doc_id").alias("doc_id"), F.col("document.text").alias("text")), "row", "doc_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
+    nodes = stored(fps.groupBy("fp").agg(F.min(order).alias("least")))
+    first = settled(lambda: classes(nodes).select("component_id.row").distinct())
+    gone = stored(fps.select("row").join(first, "row", "left_anti"))
+    drop(fps, nodes, first)
+    return base.join(small_or_shuffled(gone), "row", "left_anti").select("document.*")
