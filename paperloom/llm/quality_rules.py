@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import kept, let, small_or_shuffled
+from paperloom.llm.common import let, settled, small_or_shuffled, stored, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
@@ -77,7 +77,7 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
     Prior a, b by the method of moments over the hosts' rates; with fewer than two hosts or no spread it is the
     mean with the weight of 20 documents.
     """
-    hosts = kept(judged.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")))
+    hosts = stored(judged.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")))
     row = hosts.agg(F.sum("failed"), F.sum("n"), F.var_samp(F.col("failed") / F.col("n")), F.avg(1 / F.col("n"))).first()
     mean = row[0] / row[1] if row[1] else 0.0
     noise = mean * (1 - mean) * (row[3] or 0.0)
@@ -94,18 +94,22 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     keep a row each and count each time for their host; other columns are ignored. An empty table gives none.
     """
     plain = docs.select("doc_id", "text", F.coalesce(F.col("source"), F.lit("")).alias("host"))
-    judged = kept(_judged(measures(plain, "doc_id", "host")))
-    hosts = small_or_shuffled(kept(host_verdicts(judged)))
+    judged = stored(_judged(measures(plain, "doc_id", "host")))
+    hosts = small_or_shuffled(settled(lambda: host_verdicts(judged)))
     return judged.join(hosts, "host").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~(F.col("host_bad") & F.col("strict_failed"))).alias("kept"), "host_rate")
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with the columns of ``docs``.
 
-    The measures are taken twice, for the hosts and for the rows, so that no text has to be dealt out.
+    Each text is measured once: the rows are stored beside their verdicts, and the hosts are read from those alone.
+    Only rows that the hosts decide about, those that fail the stricter rules, meet the marked hosts in a join.
+    Columns of any names are handed through; an empty table stays empty.
     """
-    plain = docs.select("text", F.coalesce(F.col("source"), F.lit("")).alias("host"))
-    hosts = small_or_shuffled(kept(host_verdicts(_judged(measures(plain, "host")))))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), "text", F.coalesce(F.col("source"), F.lit("")).alias("host"))
-    judged = _judged(measures(packed, "document", "host")).where(~F.col("base_failed"))
-    return judged.join(hosts, "host").where(~(F.col("host_bad") & F.col("strict_failed"))).select("document.*")
+    packed = docs.select(whole_row(docs).alias("document"), "text", F.coalesce(F.col("source"), F.lit("")).alias("host"))
+    judged = _judged(measures(packed, "document", "host"))
+    base = stored(judged.select("host", "base_failed", "strict_failed", F.when(~F.col("base_failed"), F.col("document")).alias("document")))
+    bad = small_or_shuffled(settled(lambda: host_verdicts(base).where("host_bad").select("host")))
+    sure = base.where(~F.col("strict_failed"))
+    asked = base.where(F.col("strict_failed") & ~F.col("base_failed")).join(bad, "host", "left_anti")
+    return sure.select("document").unionByName(asked.select("document")).select("document.*")
