@@ -21,10 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from paperloom.llm.common import arrow_bound
+from paperloom.llm.common import parts
 
 SPACE = "▁"
-BEST, CACHED_WORDS = 4, 400_000
+BEST = 4
+#: A generation of words that are kept: so many, or so many bytes of letters and ids. Words
+#: longer than LONG are searched in typed arrays.
+CACHED_WORDS, CACHED_BYTES, LONG = 400_000, 96 << 20, 1000
 SCHEMA = "doc_id bigint, n_pieces bigint, ids_crc32 bigint, best_score double, nbest_scores array<double>, nbest_pieces array<bigint>, decoded boolean"
 #: A word is its leading blanks and what follows them; lines are apart.
 WORDS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -56,6 +59,9 @@ class Lattice:
         self._trie()
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
+        self.held = 0
+        #: The last long word and its forward pass.
+        self.last: tuple[str, tuple] = ("", ([0.0], float("inf"), [0]))
         self.lists: dict[tuple[str, int], list] = {}
 
     def _trie(self) -> None:
@@ -95,8 +101,13 @@ class Lattice:
 
     def viterbi(self, word: str) -> tuple[list[float], float, list[int]]:
         """``forward`` and the start of the last piece of the best segmentation of each prefix."""
+        if len(word) > LONG and self.last[0] == word:
+            return self.last[1]
         size, low = len(word), float("-inf")
-        best, second, start = [low] * (size + 1), [low] * (size + 1), [0] * (size + 1)
+        if size > LONG:
+            best, second, start = array("d", [low]) * (size + 1), array("d", [low]) * (size + 1), array("i", [0]) * (size + 1)
+        else:
+            best, second, start = [low] * (size + 1), [low] * (size + 1), [0] * (size + 1)
         best[0] = 0.0
         prefixes, missing = self.prefixes, self.missing
         for a in range(size):
@@ -124,23 +135,52 @@ class Lattice:
                         second[b] = x
                     if y > second[b]:
                         second[b] = y
+        if size > LONG:
+            self.last = word, (best, best[-1] - second[-1], start)
         return best, best[-1] - second[-1], start
 
     def search(self, word: str, most: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``most`` best segmentations of a word by A*, from its end back; ties: the earlier cuts come first."""
-        best, _ = self.forward(word)
-        heap = [(-best[-1], (len(word),), 0.0)]
-        found = []
+        """The ``most`` best segmentations of a word by A*, from its end back.
+
+        The forward scores are exact heuristics: from any place the best way on is the Viterbi way, so a segmentation
+        that is taken up is walked to the word's start at once, and what could have been done otherwise on the way
+        waits with its exact cost. An open entry stands for a set of segmentations of its own, so no more than
+        ``most`` entries are ever needed. An entry is only where it leaves the Viterbi way; ties: the first found.
+        """
+        best, _, before = self.viterbi(word)
+        heap: list[tuple[float, int, tuple]] = [(0.0, 0, ())]
+        found, number = [], 0
         while heap and len(found) < most:
-            cost, cuts, behind = heapq.heappop(heap)
-            if cuts[0] == 0:
-                found.append((-cost, cuts))
-                continue
-            for start, s in self.edges(word, cuts[0]):
-                if best[start] > float("-inf"):
-                    heapq.heappush(heap, (-(best[start] + s + behind), (start, *cuts), behind + s))
+            lost, _, turns = heapq.heappop(heap)
+            found.append((best[-1] - lost, self._cuts(before, len(word), turns)))
+            if len(found) == most:
+                break
+            end = turns[-1][1] if turns else len(word)
+            limit = max([x[0] for x in heap], default=0.0) if len(heap) >= most - len(found) else float("inf")
+            fresh = []
+            while end and limit > lost:  # nothing that comes can be better than ``lost``
+                for start, s in self.edges(word, end):
+                    if start != before[end]:
+                        gap = lost + best[end] - (best[start] + s)
+                        if gap < limit:
+                            number += 1
+                            fresh.append((gap, number, (*turns, (end, start))))
+                if len(fresh) > 64:
+                    fresh = heapq.nsmallest(most - len(found), fresh)
+                    limit = min(limit, fresh[-1][0])
+                end = before[end]
+            heap = heapq.nsmallest(most - len(found), [*heap, *fresh])  # sorted, and so a heap
         return found
 
+    @staticmethod
+    def _cuts(before: list[int], size: int, turns: tuple) -> tuple[int, ...]:
+        """The cuts of the way from the end that leaves the Viterbi way where ``turns`` say."""
+        leave, out, at = dict(turns), [size], size
+        while at:
+            at = leave.get(at, before[at])
+            out.append(at)
+        return tuple(reversed(out))
+
     def ids(self, word: str, cuts: tuple[int, ...]) -> tuple[int, ...]:
         out: list[int] = []
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -160,8 +200,8 @@ class Lattice:
 
     def trim(self) -> None:
         """Lets the old generation go when the young one is full."""
-        if len(self.young) > CACHED_WORDS:
-            self.old, self.young = self.young, {}
+        if len(self.young) > CACHED_WORDS or self.held > CACHED_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
 
     def _learn(self, words: set[str]) -> None:
         """Makes words known: each is the chain of what lies between its sure cuts, searched and kept by itself."""
@@ -191,8 +231,10 @@ class Lattice:
         for p in fresh:
             if p not in young:
                 young[p] = self._alone(p)
+        self.held += sum(3 * len(w) + len(young[w][2]) for w in fresh)
         for w, parts in parted.items():
             found = [young[p] for p in parts]
+            self.held += 6 * len(w)
             young[w] = sum([f[0] for f in found]), min([f[1] for f in found]), b"".join([f[2] for f in found]), "".join([f[3] for f in found])
 
     def _alone(self, word: str) -> tuple[float, float, bytes, str]:
@@ -280,11 +322,13 @@ class Lattice:
         lists = []
         for k in opened:
             key = (words[k], most)
-            if key not in self.lists:
-                if len(self.lists) >= CACHED_WORDS // 10:
-                    self.lists.clear()
-                self.lists[key] = [(s, len(self.ids(words[k], cuts))) for s, cuts in self.search(words[k], most)]
-            lists.append(self.lists[key])
+            if (known_list := self.lists.get(key)) is None:
+                known_list = [(s, len(self.ids(words[k], cuts))) for s, cuts in self.search(words[k], most)]
+                if len(words[k]) <= LONG:
+                    if len(self.lists) >= CACHED_WORDS // 10:
+                        self.lists.clear()
+                    self.lists[key] = known_list
+            lists.append(known_list)
         heap, seen, found = [(-score, (0,) * len(lists))], {(0,) * len(lists)}, []
         while heap and len(found) < most:
             cost, choice = heapq.heappop(heap)
@@ -335,7 +379,7 @@ def encode(docs: DataFrame, model_path: str, most: int = BEST) -> DataFrame:
         types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_())
         gc.disable()  # nothing here is cyclic, and the collector would walk the cached words again and again
         try:
-            for b in batches:
+            for b in parts(batches):
                 rows = []
                 texts = b.column(1).to_pylist()
                 # the words of the batch are learned together, so that each text finds its own
@@ -350,5 +394,4 @@ def encode(docs: DataFrame, model_path: str, most: int = BEST) -> DataFrame:
         finally:
             gc.enable()
 
-    arrow_bound(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
