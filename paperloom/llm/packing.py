@@ -23,13 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from paperloom.llm.common import arrow_bound
+from paperloom.llm.common import parts
 
 CAPACITY = 4096
 END_ID = 2
-#: Remainders that wait for a fitting partner, and words whose ids are kept at hand.
-WAITING, CACHED_WORDS = 256, 300_000
+#: Remainders that wait for a fitting partner.
+WAITING = 256
+#: A generation of words whose ids are kept at hand: so many words, or so many bytes of letters and ids. Longer words
+#: than LONG are encoded each time.
+CACHED_WORDS, CACHED_BYTES, LONG = 300_000, 48 << 20, 1000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 NAMES = tuple(x.split()[0] for x in SCHEMA.split(", "))
 
@@ -103,8 +107,11 @@ def tokenizer_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
             text = normal.encode().decode("latin-1").translate(signs)
         return array("I", [t.id for t in model.tokenize(text)]).tobytes()
 
+    held = 0
+
     def learn(words: set[str]) -> None:
         """Makes every one of ``words`` known in the young generation."""
+        nonlocal held
         for w in words:
             if (known := old.get(w)) is None:
                 end = ends.get(w[-1:], b"") if w[-2:-1].isalpha() else b""
@@ -116,14 +123,22 @@ def tokenizer_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
                 young[stem] = known
                 known += end
             young[w] = known
+            held += 2 * len(w) + len(known)
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        nonlocal young, old
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        learn(set().union(*split).difference(young))
-        out = [np.frombuffer(b"".join(map(young.__getitem__, words)), "<u4") for words in split]
-        if len(young) > CACHED_WORDS:
-            old, young = young, {}
+        nonlocal young, old, held
+        out = []
+        for text in texts:
+            words = text.replace("\n", " ").split(" ")
+            if len(text) > LONG and max(map(len, words)) > LONG:
+                long = {w: encoded(w) for w in set(words) if len(w) > LONG}
+                learn(set(words).difference(young, long))
+                out.append(np.frombuffer(b"".join([long[w] if w in long else young[w] for w in words]), "<u4"))
+            else:
+                learn(set(words).difference(young))
+                out.append(np.frombuffer(b"".join(map(young.__getitem__, words)), "<u4"))
+            if len(young) > CACHED_WORDS or held > CACHED_BYTES:
+                old, young, held = young, {}, 0
         return out
 
     return encode
@@ -219,7 +234,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, waiting
 
         gc.disable()  # nothing here is cyclic, and the collector would walk millions of words again and again
         try:
-            for batch in batches:
+            for batch in parts(batches):
                 ids = batch.column(0).to_pylist()
                 texts = batch.column(1).to_pylist()
                 rows = []
@@ -233,5 +248,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, waiting
         finally:
             gc.enable()
 
-    arrow_bound(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
