@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import arrow_bound
+from paperloom.llm.common import parts
 
 #: Turns are marked by <turn role> and </turn>; a text's own marks are escaped.
 TEMPLATE = "{% for m in messages %}{{ '<turn ' + m.role|escape + '>' }}{% if m.role == 'assistant' %}{% generation %}{{ m.text|escape }}{% endgeneration %}{% else %}{{ m.text|escape }}{% endif %}{{ '</turn>' }}{% endfor %}"
@@ -300,10 +300,42 @@ def _statement(node: Node) -> Render:
     return loop
 
 
+#: What a message and a loop offer.
+MESSAGE, LOOP = frozenset(("role", "text")), frozenset(("index", "index0", "first", "last"))
+
+
+def _named(node: Node, known: dict[str, frozenset], nested: bool) -> Iterator[bool]:
+    """For each place that names ``messages`` whether it may be reached more than once; unknown attributes raise."""
+    if node.kind == "name" and node.value == "messages" and "messages" not in known:
+        yield nested
+    elif node.kind == "attr" and node.parts[0].kind == "name" and (there := known.get(node.parts[0].value)) and node.value not in there:
+        raise TemplateError(f"{node.parts[0].value} has no {node.value}")
+    if node.kind == "for":
+        name, items = node.value
+        yield from _named(items, known, nested)
+        inside = known | {name: MESSAGE if items == Node("name", "messages") else frozenset(), "loop": LOOP}
+        for inner in node.parts:
+            yield from _named(inner, inside, True)
+    elif node.kind == "if":
+        for test, body in node.parts:
+            for inner in (test, *body):
+                yield from _named(inner, known, nested)
+    else:
+        for inner in node.parts:
+            yield from _named(inner, known, nested)
+
+
 def compile_template(source: str = TEMPLATE) -> Callable[[Iterable[dict]], Iterator[tuple[str, bool]]]:
-    """A function from messages (``role`` and ``text``) to pieces of output and whether the loss mask covers them."""
-    render = _body(fold_body(parse(source)))
-    return lambda messages: render({"messages": messages}, False)
+    """A function from messages (``role`` and ``text``) to pieces of output and whether the loss mask covers them.
+
+    A template that goes through the messages once reads them as a stream; one that names them again, or in a loop,
+    needs them all at once. An attribute that a message or loop does not have is an error, an unknown name is empty.
+    """
+    body = fold_body(parse(source))
+    places = [again for node in body for again in _named(node, {}, False)]
+    once = len(places) < 2 and not any(places)
+    render = _body(body)
+    return lambda messages: render({"messages": messages if once else list(messages)}, False)
 
 
 class Reader:
@@ -344,15 +376,16 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, digest: boo
 
     ``digest``: what is read back from the output, else the output itself as ``formatted`` and the spans
     ``[start, end)`` of the loss mask. Turns come in order of turn, role and text, nulls first; a null role or text
-    is empty; repeated rows are turns of their own; a null conv_id is a conversation. Rows of a conversation are
-    read one after the other and, with ``digest``, never held together, so its size does not matter.
+    is empty; repeated rows are turns of their own; a null conv_id is a conversation. Other columns are ignored; an
+    empty table gives none. The order of turns makes a conversation one task's work, but its rows are read one after
+    the other from a sort that spills and, with ``digest``, never held together, so its size costs time only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
 
         def rows() -> Iterator[tuple]:
-            for b in batches:
+            for b in parts(batches):
                 yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
 
         def made() -> Iterator[tuple]:
@@ -395,6 +428,5 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, digest: boo
         schema = "conv_id bigint, formatted string, loss_spans array<struct<start: bigint, end: bigint>>"
         types = (whole, pa.string(), span)
     names = [x.split()[0] for x in schema.split(", ")][: len(types)]
-    arrow_bound(turns.sparkSession)
     ordered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(run, schema)
