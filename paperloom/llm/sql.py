@@ -10,22 +10,28 @@ def _quoted(text: str) -> str:
 
 
 def _license() -> str:
-    rows = []
-    for number, (phrase, label) in enumerate((*S.BASE, *S.NOTICES)):
-        words = phrase.split(" ")
-        for t in range(len(words) - 1):
-            rows.append(f"({number}, {str(number < len(S.BASE)).lower()}, {_quoted(label)}, {len(words)}, {min(2, len(words) // 4)}, {t}, {_quoted(words[t])}, {_quoted(words[t + 1])})")
+    gram = lambda words: "[" + ", ".join(map(_quoted, words)) + "]"
+    rows = [f"({n}, {str(base).lower()}, {_quoted(label)}, {size}, {slack}, {k}, {t}, {gram(words)})" for n, base, label, size, slack, k, t, words in S.template_rows()]
     word = S.WORD.replace("\\x00", "\\x{00}").replace("\\x2F", "\\x{2F}").replace("\\x3A", "\\x{3A}").replace("\\x60", "\\x{60}").replace("\\x7B", "\\x{7B}").replace("\\x7F", "\\x{7F}")
-    return f"""WITH templates(template, base, label, t_words, slack, t_pos, t_one, t_two) AS (VALUES {", ".join(rows)}),
-    split AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS w FROM documents),
-    grams AS (SELECT r, w[p] AS one, w[p + 1] AS two, p - 1 AS pos FROM (SELECT r, w, unnest(range(1, len(w))) AS p FROM split)),
-    lines AS (SELECT r, template, base, label, t_words, slack, pos - t_pos AS diagonal, list(DISTINCT t_pos) AS found
-      FROM grams JOIN templates ON one = t_one AND two = t_two GROUP BY ALL),
+    key = "r, template, span"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH templates(template, base, label, t_words, slack, k, t_pos, g) AS (VALUES {", ".join(rows)}),
+    split AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '{word}') AS w FROM documents),
+    grams AS (SELECT r, {S.SHORT_GRAM} AS k, w[p:p + {S.SHORT_GRAM - 1}] AS g, p - 1 AS pos FROM (SELECT r, w, unnest(range(1, len(w) - {S.SHORT_GRAM - 2})) AS p FROM split)
+      UNION ALL SELECT r, {S.LONG_GRAM}, w[p:p + {S.LONG_GRAM - 1}], p - 1 FROM (SELECT r, w, unnest(range(1, len(w) - {S.LONG_GRAM - 2})) AS p FROM split)),
+    lines AS (SELECT r, template, base, label, t_words, slack, k, pos - t_pos AS diagonal, list(DISTINCT t_pos) AS found
+      FROM grams JOIN templates USING (k, g) GROUP BY ALL),
     marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= slack THEN 0 ELSE 1 END AS starts FROM lines),
-    placed AS (SELECT *, sum(starts) OVER (PARTITION BY r, template ORDER BY diagonal) AS span, len(found) = t_words - 1 AS whole FROM marked),
-    spans AS (SELECT r, template, span, any_value(base) AS base, any_value(label) AS label, any_value(t_words) AS t_words, len(list_distinct(flatten(list(found)))) AS covered,
-      sum(whole::INT) AS n_whole, min(CASE WHEN whole THEN diagonal END) AS first_whole, max(CASE WHEN whole THEN diagonal END) AS last_whole FROM placed GROUP BY r, template, span),
-    judged AS (SELECT *, base AND n_whole > 0 AS is_base, CASE WHEN base THEN n_whole > 0 ELSE covered / (t_words - 1) >= {S.COVER} END AS sure, covered / (t_words - 1) * (1 - 0.5 / t_words) AS weight FROM spans)
+    placed AS (SELECT *, sum(starts) OVER (PARTITION BY r, template ORDER BY diagonal) AS span, len(found) = t_words - k + 1 AS whole FROM marked),
+    spans AS (SELECT {key}, any_value(base) AS base, any_value(label) AS label, any_value(t_words) AS t_words, any_value(slack) AS slack, first(diagonal ORDER BY len(found) DESC, diagonal) AS main,
+      sum(whole::INT) AS n_whole, min(CASE WHEN whole THEN diagonal END) AS first_whole, max(CASE WHEN whole THEN diagonal END) AS last_whole FROM placed GROUP BY {key}),
+    starts_at AS (SELECT {key}, diagonal, k, unnest(found) AS f FROM placed WHERE NOT base),
+    covered AS (SELECT DISTINCT {key}, diagonal, t FROM (SELECT {key}, diagonal, unnest(range(f, f + k)) AS t FROM starts_at)),
+    chosen AS (SELECT {key}, t, first(diagonal ORDER BY abs(diagonal - main), diagonal) + t AS p FROM covered JOIN spans USING ({key}) GROUP BY {key}, t),
+    ordered AS (SELECT *, p > coalesce(max(p) OVER (PARTITION BY {key} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p - 1) AS later FROM chosen),
+    verified AS (SELECT {key}, count(*) AS n, max(p) - min(p) + 1 AS extent FROM ordered WHERE later GROUP BY {key}),
+    judged AS (SELECT *, base AND n_whole > 0 AS is_base, CASE WHEN base THEN n_whole > 0 ELSE n / t_words >= CASE WHEN t_words < {S.LONG} THEN {S.SHORT_COVER} ELSE {S.COVER} END AND extent <= t_words + slack END AS sure,
+      (CASE WHEN base THEN 1.0::DOUBLE ELSE n / t_words END) * (1 - 0.5::DOUBLE / t_words) AS weight FROM spans LEFT JOIN verified USING ({key}))
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(sum(CASE WHEN is_base THEN n_whole END), 0)::BIGINT AS n_base,
       min(CASE WHEN is_base THEN first_whole END)::BIGINT AS first_word, max(CASE WHEN is_base THEN last_whole END)::BIGINT AS last_word,
       coalesce(string_agg(DISTINCT CASE WHEN is_base THEN label END, ',' ORDER BY CASE WHEN is_base THEN label END), '') AS base_labels,
@@ -59,21 +65,27 @@ def _url() -> str:
     fits = lambda p: f"(host = {_quoted(p.split('/')[0])} OR ends_with(host, {_quoted('.' + p.split('/')[0])})) AND starts_with(path, {_quoted('/' + p.split('/', 1)[1])})"
     rule = "CASE " + " ".join(f"WHEN {fits(p)} THEN {_quoted(p)}" for _, p in rules) + " END"
     ruled = "CASE " + " ".join(f"WHEN {fits(p)} THEN {_quoted(k)}" for k, p in rules) + " END"
-    varied = r"^(?:[^/]*\d[^/]*?|[^/]{33,}?)(\.[A-Za-z]{1,5})?$"
-    z = "abs(blocked / labelled - (all_blocked - blocked) / rest) / sqrt(pooled * (1 - pooled) * (1 / labelled + 1 / rest))"
+    z = "abs(labelled_bad / labelled - (all_blocked - labelled_bad) / (all_labelled - labelled)) / sqrt(all_blocked / all_labelled * (1 - all_blocked / all_labelled) * (1 / labelled + 1 / (all_labelled - labelled)))"
+    levels = []
+    for k in range(U.DEPTH):
+        # the last level takes all that is left of a path
+        segment = "parts[1]" if k < U.DEPTH - 1 else "array_to_string(parts, '/')"
+        levels.append(f"""c{k} AS (SELECT host, t, {segment} AS segment, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM l{k} WHERE len(parts) > 0 GROUP BY ALL),
+    p{k} AS (SELECT host, t, count(*) AS kids, sum(n) AS all_n, sum(labelled) AS all_labelled, sum(blocked) AS all_blocked FROM c{k} GROUP BY ALL),
+    n{k} AS (SELECT c.*, CASE WHEN kids > {U.FAN_OUT} AND n * {U.FAN_OUT} <= all_n THEN '{U.WILDCARD}' ELSE '=' || segment END AS name FROM c{k} c JOIN p{k} USING (host, t)),
+    b{k} AS (SELECT host, t, name, sum(labelled) AS labelled, sum(blocked) AS labelled_bad FROM n{k} GROUP BY ALL),
+    d{k} AS (SELECT host, t, name, CASE WHEN labelled > 0 AND all_labelled > labelled AND all_blocked > 0 AND all_blocked < all_labelled AND {z} > {U.DIFFERENT_Z} THEN name ELSE '{U.MERGED}' END AS branch FROM b{k} JOIN p{k} USING (host, t)),
+    w{k} AS (SELECT host, t, segment, branch FROM n{k} JOIN d{k} USING (host, t, name)),
+    l{k + 1} AS (SELECT l.host, flat, CASE WHEN len(parts) > 0 THEN {"parts[2:]" if k < U.DEPTH - 1 else "[]"} ELSE parts END AS parts, CASE WHEN len(parts) > 0 THEN l.t || '/' || branch ELSE l.t END AS t, n, labelled, blocked
+      FROM l{k} l LEFT JOIN w{k} w ON w.host = l.host AND w.t = l.t AND w.segment = CASE WHEN len(parts) > 0 THEN {segment} END)""")
     return rf"""WITH urls AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
       coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-    named AS (SELECT *, {rule} AS rule, {ruled} AS ruled, array_to_string(list_transform(string_split(path, '/'),
-      lambda s: CASE WHEN regexp_matches(s, '{varied}') THEN '*' || regexp_extract(s, '{varied}', 1) ELSE s END), '/') AS made FROM urls),
-    placed AS (SELECT *, CASE WHEN made = '' THEN '/' ELSE made END AS template FROM named),
-    counts AS (SELECT host, template, regexp_replace(template, '^((?:/\*)*)/[^/*]+', '\1/~') AS branch, count(ruled) AS labelled, sum((ruled = 'block')::INT) FILTER (WHERE ruled IS NOT NULL) AS b FROM placed GROUP BY ALL),
-    filled AS (SELECT host, template, branch, labelled, coalesce(b, 0) AS blocked FROM counts),
-    prior AS (SELECT coalesce(sum(blocked) / nullif(sum(labelled), 0), 0) AS p FROM filled),
-    sums AS (SELECT *, sum(labelled) OVER (PARTITION BY host, branch) AS all_labelled, sum(blocked) OVER (PARTITION BY host, branch) AS all_blocked FROM filled),
-    shares AS (SELECT *, all_labelled - labelled AS rest, all_blocked / nullif(all_labelled, 0) AS pooled FROM sums),
-    merged AS (SELECT *, CASE WHEN labelled > 0 AND rest > 0 AND pooled > 0 AND pooled < 1 AND {z} > {U.DIFFERENT_Z} THEN template ELSE branch END AS m FROM shares),
-    pure AS (SELECT host, template, round((sum(blocked) OVER w + {U.PRIOR_WEIGHT} * p) / (sum(labelled) OVER w + {U.PRIOR_WEIGHT}), 9) AS purity FROM merged, prior WINDOW w AS (PARTITION BY host, m))
-    SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= {U.BLOCK_PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM placed JOIN pure USING (host, template)"""
+    named AS (SELECT *, {rule} AS rule, {ruled} AS ruled, regexp_replace(array_to_string(list_filter(string_split(path, '/'), lambda s: s <> ''), '/'), '\.[A-Za-z]{{1,5}}\z', '') AS flat FROM urls),
+    l0 AS (SELECT host, flat, CASE WHEN flat = '' THEN []::VARCHAR[] ELSE string_split(flat, '/') END AS parts, '' AS t, count(*) AS n, count(ruled) AS labelled, coalesce(sum((ruled = 'block')::INT), 0) AS blocked FROM named GROUP BY ALL),
+    prior AS (SELECT coalesce(least(sum(blocked) / nullif(sum(labelled), 0), {U.MOST_PRIOR}), 0) AS p FROM l0),
+    {", ".join(levels)},
+    pure AS (SELECT host, flat, CASE WHEN t = '' THEN '/' ELSE t END AS template, round((sum(blocked) OVER w + {U.PRIOR_WEIGHT} * p) / (sum(labelled) OVER w + {U.PRIOR_WEIGHT}), 9)::DOUBLE AS purity FROM l{U.DEPTH}, prior WINDOW w AS (PARTITION BY host, t))
+    SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= {U.BLOCK_PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM named JOIN pure USING (host, flat)"""
 
 
 ORACLES: dict[str, str] = {"op1_license_scan": _license(), "op2_quality_rules": _quality(), "op10_url_filter": _url()}

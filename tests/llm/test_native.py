@@ -1,5 +1,6 @@
 """License scans, quality rules and URL filters against brute force, with edge cases."""
 
+import random
 import re
 from collections import Counter
 
@@ -7,9 +8,11 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from paperloom.llm import license_scan as L
 from paperloom.llm import url_filter as U
-from paperloom.llm.license_scan import BASE, license_scan
+from paperloom.llm.license_scan import BASE, NOTICES, license_scan
 from paperloom.llm.quality_rules import quality_filter, quality_rules
+from paperloom.llm.sql import ORACLES
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Extra columns whose names the operators use inside.
@@ -60,6 +63,76 @@ def test_license_gap_is_bridged_by_neighbouring_diagonals(spark):
     assert license_scan(frame(spark, [(1, text, "s")])).first().labels == "mit"
 
 
+MIT = next(p for p, label in NOTICES if label == "mit-text")
+
+
+def brute_notices(text):
+    """Labels of the notices by the definition: votes of k-grams, merged diagonals, words in order."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+    labels = set()
+    for phrase, label in NOTICES:
+        t = phrase.split()
+        k, slack = L.gram_size(len(t)), L.slack(len(t))
+        votes = sorted((p - q, q) for q in range(len(t) - k + 1) for p in range(len(words) - k + 1) if words[p : p + k] == t[q : q + k])
+        spans = []
+        for d, q in votes:
+            if not spans or d - spans[-1][-1][0] > slack:
+                spans.append([])
+            spans[-1].append((d, q))
+        for span in spans:
+            count = Counter(d for d, _ in span)
+            main = min(count, key=lambda d: (-count[d], d))
+            at = {}
+            for d, q in span:
+                for x in range(q, q + k):
+                    at[x] = min(at.get(x, (10**9, 0)), (abs(d - main), d))
+            place = [x + at[x][1] for x in sorted(at)]
+            kept = [p for i, p in enumerate(place) if p > max(place[:i], default=-1)]
+            cover = L.SHORT_COVER if len(t) < L.LONG else L.COVER
+            if len(kept) / len(t) >= cover and kept[-1] - kept[0] + 1 <= len(t) + slack:
+                labels.add(label)
+    return labels
+
+
+def license_bodies():
+    words = MIT.split()
+    mixed = words[len(words) // 2 :] + words[: len(words) // 2]
+    return [
+        MIT, "so " + MIT.upper() + " end", " ".join(words[:10] + ["put", "in"] + words[10:]), " ".join(w for i, w in enumerate(words) if i % 12), " ".join(w for i, w in enumerate(words) if i % 3),
+        " ".join(mixed), " ".join(reversed(words)), " ".join(words[:40]), "x ".join(words), " ".join(words + words), " ".join(p for p, _ in NOTICES), "K mit license İ apache license",
+    ]
+
+
+def test_license_texts_equal_brute_force(spark):
+    texts = license_bodies()
+    got = {r.doc_id: r for r in license_scan(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        base = set(filter(None, brute_license(t)[4].split(",")))
+        assert set(filter(None, got[i].labels.split(","))) == brute_notices(t) | base, i
+        assert (got[i].n_words, got[i].n_base) == brute_license(t)[:2]
+    assert "mit-text" in got[0].labels and "mit-text" in got[2].labels and "mit-text" not in got[6].labels and "mit-text" not in got[5].labels
+
+
+def test_license_hashes_are_sparks(spark):
+    from pyspark.sql import functions as F
+
+    rows = L.templates(spark).select("t_gram", F.xxhash64("t_gram").alias("h")).collect()
+    assert all(L.gram_hash(r.t_gram) == r.h for r in rows)
+
+
+def test_license_sql_gives_the_same_rows(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, t, "s") for i, t in enumerate([*license_bodies(), *LICENSE_TEXTS])]
+    docs = frame(spark, rows)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    want = con.sql(f"SELECT {', '.join(names)} FROM ({ORACLES['op1_license_scan']}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in license_scan(docs).select(*names).orderBy("doc_id").collect()] == want
+
+
 def test_license_repeated_rows_ids_and_empty_table(spark):
     rows = [(1, "mit license", "s"), (1, "mit license", "s"), (1, "apache license", "s"), (None, "cc by", "s")]
     got = sorted((str(r.doc_id), r.base_labels) for r in license_scan(frame(spark, rows)).collect())
@@ -148,38 +221,82 @@ def test_url_rules_equal_brute_force(spark):
 
 
 def brute_tree(rows):
-    """``(host, template, ruled)`` rows -> purity of each, by the definition."""
-    count = {}
-    for h, t, r in rows:
-        c = count.setdefault((h, t), [0, 0])
-        c[0] += r is not None
-        c[1] += r == "block"
-    total = [sum(c[k] for c in count.values()) for k in (0, 1)]
-    prior = total[1] / total[0] if total[0] else 0.0
-    branch = {k: re.sub(r"^((?:/\*)*)/[^/*]+", r"\1/~", k[1]) for k in count}
-    merged = {}
-    for k, (n, bad) in count.items():
-        others = [count[j] for j in count if j[0] == k[0] and branch[j] == branch[k] and j != k]
-        rest, rest_bad = sum(c[0] for c in others), sum(c[1] for c in others)
-        apart = False
-        if n and rest:
-            pooled = (bad + rest_bad) / (n + rest)
-            if 0 < pooled < 1:
-                apart = abs(bad / n - rest_bad / rest) / (pooled * (1 - pooled) * (1 / n + 1 / rest)) ** 0.5 > U.DIFFERENT_Z
-        merged[k] = (k[0], k[1] if apart else branch[k])
+    """``(host, flat, ruled)`` rows -> template and purity of each path, by the definition."""
+    total = [sum(r is not None for _, _, r in rows), sum(r == "block" for _, _, r in rows)]
+    prior = min(total[1] / total[0], U.MOST_PRIOR) if total[0] else 0.0
+    paths = {(h, f): (f.split("/", U.DEPTH - 1) if f else []) for h, f, _ in rows}
+    t = dict.fromkeys(paths, "")
+    for level in range(U.DEPTH):
+        count = {}
+        for h, f, r in rows:
+            if len(paths[h, f]) > level:
+                c = count.setdefault((h, t[h, f]), {}).setdefault(paths[h, f][level], [0, 0, 0])
+                c[0] += 1
+                c[1] += r is not None
+                c[2] += r == "block"
+        branch = {}
+        for node, kids in count.items():
+            n = sum(c[0] for c in kids.values())
+            name = {k: "*" if len(kids) > U.FAN_OUT and c[0] * U.FAN_OUT <= n else "=" + k for k, c in kids.items()}
+            for k in kids:
+                mine = [sum(c[x] for j, c in kids.items() if name[j] == name[k]) for x in (1, 2)]
+                rest = [sum(c[x] for j, c in kids.items() if name[j] != name[k]) for x in (1, 2)]
+                apart = False
+                if mine[0] and rest[0]:
+                    pooled = (mine[1] + rest[1]) / (mine[0] + rest[0])
+                    if 0 < pooled < 1:
+                        apart = abs(mine[1] / mine[0] - rest[1] / rest[0]) / (pooled * (1 - pooled) * (1 / mine[0] + 1 / rest[0])) ** 0.5 > U.DIFFERENT_Z
+                branch[*node, k] = name[k] if apart else "~"
+        t = {p: t[p] + "/" + branch[p[0], t[p], paths[p][level]] if len(paths[p]) > level else t[p] for p in paths}
     sums = {}
-    for k, m in merged.items():
-        s = sums.setdefault(m, [0, 0])
-        s[0] += count[k][0]
-        s[1] += count[k][1]
-    return {k: round((sums[m][1] + U.PRIOR_WEIGHT * prior) / (sums[m][0] + U.PRIOR_WEIGHT), 9) for k, m in merged.items()}
+    for h, f, r in rows:
+        s = sums.setdefault((h, t[h, f]), [0, 0])
+        s[0] += r is not None
+        s[1] += r == "block"
+    return {p: (x or "/", round((sums[p[0], x][1] + U.PRIOR_WEIGHT * prior) / (sums[p[0], x][0] + U.PRIOR_WEIGHT), 9)) for p, x in t.items()}
+
+
+def tree_rows():
+    rng = random.Random(4)
+    rows = [("h", f"a/{i}", "block") for i in range(12)] + [("h", f"b/{i}", "allow") for i in range(12)] + [("h", f"c/{i}", None) for i in range(4)]
+    rows += [("h", f"news/{i % 3}/story-{i}-{w}", "block" if w == "x" else "allow") for i in range(30) for w in "xy"]
+    rows += [("g", "", None), ("g", "", "allow"), ("", "", None), ("k", "one", None), ("k", "a/b/c/d/e/f", "block"), ("k", "a/b/c/d/e/g", None)]
+    return rows + [("r", "/".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(1, 6))), rng.choice(["block", "allow", None])) for _ in range(400)]
 
 
 def test_url_tree_equals_brute_force(spark):
-    rows = [("h", "/a/*", "block")] * 9 + [("h", "/b/*", "allow")] * 9 + [("h", "/c/*", None)] * 4 + [("h", "/d/*", "block"), ("h", "/d/*", "allow"), ("g", "/", None), ("g", "/a/*", "allow"), ("", "/", None)]
-    urls = spark.createDataFrame(rows, "host string, template string, ruled string")
-    got = {(r.host, r.template): r.purity for r in U.tree(urls).collect()}
-    assert got == pytest.approx(brute_tree(rows))
+    rows = tree_rows()
+    got = {(r.host, r.flat): (r.template, r.purity) for r in U.tree(spark.createDataFrame(rows, "host string, flat string, ruled string")).collect()}
+    want = brute_tree(rows)
+    assert {k: t for k, (t, _) in got.items()} == {k: t for k, (t, _) in want.items()}
+    assert all(got[k][1] == pytest.approx(p, abs=2e-9) for k, (_, p) in want.items())
+
+
+def test_url_slugs_of_words_become_a_wildcard_by_fan_out():
+    rows = [("h", f"{kind}/{a}{b}", ruled) for kind, ruled in (("ads", "block"), ("blog", "allow")) for a in "abcdef" for b in ("story", "tale", "post")]
+    got = brute_tree(rows + [("h", "ads/never-seen", None)])
+    assert got["h", "ads/never-seen"][0] == got["h", "ads/astory"][0] and got["h", "ads/never-seen"][1] >= U.BLOCK_PURITY
+
+
+def test_url_host_without_labels_is_allowed(spark):
+    pages = [(i, f"http://bad.net/x/1{i}") for i in range(30)] + [(100 + i, f"http://other.net/x/{i}") for i in range(30)]
+    got = U.url_filter(spark.createDataFrame(pages, "page_id bigint, url string"), (("block", "bad.net/x/1"),)).collect()
+    assert {r.verdict for r in got if r.page_id >= 100} == {"allow"} and {r.verdict for r in got if r.page_id < 30} == {"block"}
+
+
+def test_url_sql_gives_the_same_rows(spark, tmp_path):
+    import duckdb
+
+    pages = [(i, u) for i, u in enumerate(URLS)]
+    pages += [(100 + i, f"http://{h}.example.{('com', 'org', 'net')[i % 3]}/{('de', 'fr', 'en', 'es')[i % 4]}/{f.replace('/', '//')}{('', '/', '.html')[i % 3]}") for i, (h, f, _) in enumerate(tree_rows())]
+    frame_ = spark.createDataFrame(pages, "page_id bigint, url string")
+    frame_.coalesce(1).write.parquet(f"{tmp_path}/p")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/p/*.parquet'")
+    names = ["page_id", "host", "path", "rule", "verdict", "template", "purity"]
+    want = con.sql(f"SELECT {', '.join(names)} FROM ({ORACLES['op10_url_filter']}) ORDER BY page_id").fetchall()
+    got = [tuple(r) for r in U.url_filter(frame_).select(*names).orderBy("page_id").collect()]
+    assert got == want and len({r[5] for r in got}) > 10
 
 
 def test_url_method_blocks_pure_templates(spark):

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from paperloom.llm import embedding_dedup as E
 from paperloom.llm import simhash as S
+from paperloom.llm import components as G
+from paperloom.llm.common import is_small, stored
 from paperloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +47,24 @@ def test_components_without_links(spark):
     assert components(spark.createDataFrame([(1, 1)], "u bigint, v bigint")).count() == 0
 
 
+def test_marks_of_many_links_do_not_overflow(spark):
+    links = spark.range(40_000_000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    n, one, two = G._mark(links)
+    assert n == 40_000_000 and (one, two) != G._mark(links.where("u <> 5"))[1:]
+
+
+def test_least_of_a_hot_root(spark, monkeypatch):
+    monkeypatch.setattr(G, "HOT_NODES", 5)
+    rows = [(i, i % 3 if i % 2 else 7, 100 - i) for i in range(60)]
+    nodes = stored(spark.createDataFrame(rows, "fp bigint, root bigint, least bigint"))
+    want = {root: min(x for _, r, x in rows if r == root) for _, root, _ in rows}
+    assert {r.fp: r.component_id for r in G.with_least(nodes, "least", "component_id").collect()} == {i: want[root] for i, root, _ in rows}
+
+
+def test_small_tables_are_told_by_bytes(spark):
+    assert is_small(spark.range(1000)) and not is_small(spark.createDataFrame([("x" * 1000,)] * 50, "s string"), 40_000)
+
+
 def brute_fingerprint(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     if not words:
@@ -66,14 +86,28 @@ def test_fingerprint_hash_is_sparks(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a b c d"))).first()[0] == np.uint64(xxhash.xxh64_intdigest("a b c d", 42)).astype(np.int64)
 
 
-@given(st.integers(0, 2**64 - 1), st.integers(0, 2**64 - 1), st.integers(6, 9))
-def test_a_plane_joins_what_is_near(a, b, axes):
+@given(st.integers(0, 2**64 - 1), st.integers(0, 2**64 - 1), st.sampled_from([10, 10**9]))
+def test_points_that_are_near_are_two_steps_apart_in_some_plane(a, b, n):
     flips = random.Random(a).sample(range(64), 4)
     near = a
     for f in flips[: b % 5]:
         near ^= 1 << f
-    code = lambda x: sum((1 << 2 * s if (x >> 2 * s) & 3 in (1, 2) else 3 << 2 * s if (x >> 2 * s) & 3 == 3 else 0) for s in range(32))
-    assert any((code(a) & m % (1 << 64)) == (code(near) & m % (1 << 64)) for m in S.planes(axes))
+    count = lambda x: [bin(x >> 2 * s & 3).count("1") for s in range(32)]
+    away = [abs(p - q) for p, q in zip(count(a), count(near), strict=True)]
+    assert any(sum(away[s] for s in plane) <= S.REACH for plane in S.planes(n))
+
+
+def test_cells_are_the_point_and_one_step_away(spark):
+    fps = [0, -1, 0x0123456789ABCDEF, 1 << 62]
+    got = {}
+    for r in S.cells(spark.createDataFrame([(f,) for f in fps], "fp bigint"), 10).collect():
+        got.setdefault((r.fp, r.plane), []).append((r.cell % (1 << 64), r.moved))
+    for f in fps:
+        for plane, coordinates in enumerate(S.planes(10)):
+            count = [bin((f % (1 << 64)) >> 2 * s & 3).count("1") for s in coordinates]
+            unary = lambda c, at=coordinates: sum((0, 1, 3)[x] << 2 * s for x, s in zip(c, at, strict=True))
+            moved = [count[:i] + [count[i] + d] + count[i + 1 :] for i in range(len(count)) for d in (-1, 1) if 0 <= count[i] + d <= 2]
+            assert sorted(got[f, plane]) == sorted([(unary(count), False)] + [(unary(m), True) for m in moved])
 
 
 def near_words(rng, base, changes):
@@ -136,6 +170,27 @@ def test_simhash_filter_keeps_one_of_each_group(spark):
     assert S.simhash_filter(frame.limit(0)).count() == 0 and S.simhash(frame.limit(0)).count() == 0
 
 
+def test_simhash_filter_of_a_coalesced_shuffle(spark):
+    """Rows keep their numbers however the plans that read them are cut into partitions."""
+    rng = random.Random(8)
+    base = [" ".join(f"v{rng.randrange(3000)}" for _ in range(30)) for _ in range(1000)]
+    rows = [(k, base[k % 1000], f"{k}-" * 200) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, wide string").repartition(40, "doc_id")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        assert sorted(r.doc_id for r in S.simhash_filter(frame.repartition("doc_id")).collect()) == list(range(1000))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+
+
+def test_simhash_of_long_texts(spark):
+    words = [f"w{i % 5000}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, "x" * 1_000_000), (4, "x" * 1_000_000)]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.simhash(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
 def brute_embedding(rows, cosine=E.COSINE):
     fine = {i: np.array(v, float) for i, v, l in rows if l is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     label = {i: l for i, _, l in rows}
@@ -235,6 +290,51 @@ def test_embedding_empty_and_repeated_rows(spark):
     assert len(got) == 3 and all(r.n_links == 1 for r in got if r.vec_id == 1)
 
 
+def test_embedding_exact_finds_every_link(spark):
+    rows = crowd(700, 200, 200, seed=5)
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    unit = np.array([v for _, v, _ in rows])
+    assert E.Index(unit, exact=True).reach == E.Index(unit).bound >= E.Index(unit).reach
+    links = E.brute_force(spark, frame).count()
+    assert sum(r.n_links for r in E.embedding_dedup(frame, exact=True).collect()) == 2 * links > 20_000
+
+
+def test_embedding_grid_grows_and_cuts_the_traversal(spark):
+    """Many unlike vectors of one label: few of the cells are visited, and recall by vector stays."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6000, 64))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(base)
+    side = rng.normal(size=(2000, 64))
+    side = unit(side - (side * base[:2000]).sum(axis=1, keepdims=True) * base[:2000])
+    cos = rng.uniform(0.931, 0.97, size=(2000, 1))
+    every = np.concatenate([base, cos * base[:2000] + np.sqrt(1 - cos**2) * side])
+    index = E.Index(every, codewords=32)
+    assert np.mean([len(v) for v in index.visit(every[:500])]) < 0.2 * index.cells
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(every)], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in E.embedding_dedup(frame).collect()}
+    want = dict.fromkeys(range(len(every)), 0)
+    for r in E.brute_force(spark, frame).collect():
+        want[r.u] += 1
+        want[r.v] += 1
+    linked = [i for i, n in want.items() if n]
+    assert all(got[i] <= want[i] for i in got) and sum(got[i] == want[i] for i in linked) / len(linked) > 0.99
+
+
+def test_embedding_lengths_of_one_and_mixed(spark):
+    schema = "vec_id bigint, embedding array<double>, label string, base string"
+    rows = [(1, [2.0], "a", ""), (2, [3.0], "a", ""), (3, [-1.0], "a", ""), (4, [1.0, 0.0], "a", ""), (5, [1.0, 0.01], "a", ""), (6, [1.0, 0.0, 0.0], "a", ""), (7, [1e-200, 0.0], "a", ""), (8, [1e200, 0.0], "a", ""), (9, [2.0], "b", ""), (10, [], "a", "")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.embedding_dedup(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (3, 4), 5: (3, 4), 6: (0, 6), 7: (3, 4), 8: (3, 4), 9: (0, 9), 10: (0, 10)}
+
+
+def test_embedding_null_ids_and_ids_of_several_vectors(spark):
+    schema = "vec_id bigint, embedding array<float>, label int"
+    rows = [(None, [1.0, 0.0], 1), (None, None, 1), (5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (6, [0.0, 1.0], 1), (7, [1.0, 0.0], 1)]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in E.embedding_dedup(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(0, 0, 0, True), (0, 0, 0, True), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False)]
+
+
 @given(st.lists(st.floats(0, 9), min_size=1, max_size=6), st.lists(st.floats(0, 9), min_size=1, max_size=6))
 def test_multi_sequence_visits_nearest_first(one, two):
     order = E.multi_sequence(np.array(one), np.array(two), 100)
@@ -258,3 +358,21 @@ def test_pipeline_stages(spark, tmp_path):
     key = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
     total = lambda df: df.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t"))
     assert set(key) <= set(ran.columns) and sorted(map(tuple, total(ran).collect())) == sorted(map(tuple, total(docs).collect()))
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, document string, host string, base_failed string, fp string"
+    good = " ".join(f"the word{i} and" for i in range(30))
+    rows = [(1, good, "en", "s", 1, *"abcde"), (1, good, "en", "s", 1, *"abcde"), (None, good + " more", None, None, None, *"abcde"), (2, None, "en", "s", 1, *"abcde"), (3, good.replace("and", "or"), "en", "s", 1, *"abcde")]
+    for k, given_ in enumerate((rows, [])):
+        docs = spark.createDataFrame(given_, schema)
+        for j, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SF)
+            path = f"{tmp_path}/{k}-{j}"
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+            assert j == 3 or docs.columns == [x.split()[0] for x in schema.split(", ")]
+        assert bool(docs.count()) == bool(given_)
+    docs.limit(0).write.parquet(f"{tmp_path}/sf/x")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/sf").count() == 0

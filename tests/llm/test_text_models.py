@@ -94,6 +94,40 @@ def test_pack_query(spark):
     assert K.pack(given_.limit(0), WORD_BPE).count() == 0
 
 
+def test_pack_odd_rows(spark):
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    texts = ["a b", "a b", None, "y" * 3000 + " z", "é " * 20000]
+    rows = [(k if k != 3 else None, t, "x", 5, "z") for k, t in enumerate(texts)] + [(0, "a b", "x", 5, "z")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, start int, sequence_id string")
+    got = K.pack(frame, WORD_BPE)
+    assert got.columns == list(K.NAMES)
+    rows_ = [tuple(r) for r in got.collect()]
+    total = {}
+    for r in rows_:
+        total[r[0]] = total.get(r[0], 0) + r[2]
+    size = lambda t: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+    assert total == {0: 2 * size("a b"), 1: size("a b"), 2: 1, None: size(texts[3]), 4: size(texts[4])}
+
+
+def test_subset_sums_lower_the_number_of_cuts():
+    lengths = [int(x) for x in np.random.default_rng(5).lognormal(6, 1.2, 3000).clip(1, 4000)]
+    docs = {i: np.arange(n, dtype="<u4") for i, n in enumerate(lengths)}
+
+    def pieces(waiting):
+        packer = K.Packer(0, K.CAPACITY, waiting)
+        return len([p for i, ids in docs.items() for p in packer.add(i, ids)] + list(packer.end()))
+
+    assert pieces(K.WAITING) < 1.1 * len(docs) < pieces(1)
+
+
+def test_long_words_are_not_kept(monkeypatch):
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    monkeypatch.setattr(K, "CACHED_BYTES", 200)
+    encode_ = K.tokenizer_ids.__wrapped__(WORD_BPE)
+    for texts in (["ab cd", "x" * 1500 + " y"], ["ab", "z" * 2000 + "," + " ab", "some more words and more"]):
+        assert [x.tolist() for x in encode_(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 LATTICE = Lattice(PIECES)
 
 
@@ -156,6 +190,51 @@ def test_encode_query_on_odd_rows(spark):
     assert encode(spark.createDataFrame([], "doc_id bigint, text string"), PIECES).count() == 0
 
 
+def test_a_very_long_word_takes_time_and_memory_in_proportion():
+    import random
+    import time
+    import tracemalloc
+
+    letters = random.Random(3)
+    word = "".join(letters.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.time()
+    ids, found, back = LATTICE.nbest(word)
+    assert time.time() - began < 30 and back == word and len(found) == 4 and len(ids) == 4 * found[0][1]
+    tracemalloc.start()
+    LATTICE.nbest("b" + word[:200_000])
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
+def brute_nbest(text, most):
+    """Scores and numbers of pieces of the best segmentations of a whole text, over all of them."""
+    best = [(0.0, 0)]
+    for w in __import__("re").findall("\n|▁*[^▁\n]+|▁+", LATTICE.normal(text)):
+        ways = []
+        for cuts in itertools.product((0, 1), repeat=len(w) - 1):
+            ends = [0, *[i for i, c in enumerate(cuts, 1) if c], len(w)]
+            pieces = [w[a:b] for a, b in itertools.pairwise(ends)]
+            if all(p in LATTICE.scores or len(p) == 1 for p in pieces):
+                ways.append((sum(LATTICE.scores[p][0] if p in LATTICE.scores else LATTICE.missing for p in pieces), pieces))
+        ways.sort(key=lambda x: -x[0])
+        best = sorted(((s + x, [*p, *q] if p else q) for s, p in best for x, q in ways[: 2 * most]), key=lambda x: -x[0])[: 4 * most]
+    return best
+
+
+def test_encode_query_equals_brute_force(spark):
+    texts = ["a b", "is it so", "to be or not", "x y z", "an ox\nis", "日本 x", "é ü", "hello you", "", "oooo aaaa"]
+    got = {r.doc_id: r for r in encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), PIECES).collect()}
+    for i, t in enumerate(texts):
+        want = brute_nbest(t, 4)
+        assert list(got[i].nbest_scores) == pytest.approx([s for s, _ in want][:4]) and got[i].best_score == pytest.approx(want[0][0])
+        crcs = set()
+        for s, pieces in want:
+            if s == pytest.approx(want[0][0]):
+                ids = [x for p in pieces or [] for x in ([LATTICE.scores[p][1]] if p in LATTICE.scores else [LATTICE.bytes[c] for c in p.encode()])]
+                crcs.add((zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids)))
+        assert (got[i].ids_crc32, got[i].n_pieces) in crcs
+
+
 def brute_language(text, ranks, size, top):
     letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
     marked = " " + " ".join(letters.split()) + " "
@@ -210,6 +289,13 @@ def test_language_odd_rows(spark):
     assert kept.columns == ["doc_id", "text", "lang", "score"] and {r.doc_id for r in kept.collect()} <= {1, None, 5}
 
 
+def test_language_of_very_long_texts(spark):
+    rows = [(i, ("the cat and the dog are here " if i % 2 else "le chat et le chien sont ici ") * n, "en" if i % 2 else "fr") for i, n in enumerate([5] * 20 + [60_000] * 2)]
+    rows += [(100, "x" * 2_000_000, "en")]
+    got = {r.doc_id: r.lang_pred for r in L.language_id(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert all(got[i] == lang for i, _, lang in rows[:22])
+
+
 def test_ngrams_do_not_depend_on_parts(monkeypatch):
     text = "Der schnelle braune Fuchs springt über den faulen Hund. " * 20
     whole = L.ngrams(text)
@@ -268,6 +354,20 @@ def test_template_language():
     assert render("{# note #}{{ ('a' + 'b')|upper }}{{ missing }}{{ 'x\\n' + 1 }}", m) == "ABx\n1"
 
 
+def test_messages_can_be_gone_through_twice():
+    m = [{"role": "user", "text": "a"}, {"role": "assistant", "text": "b"}]
+    source = "{% for m in messages %}{{ m.role }}{% endfor %}{% for m in messages %}{{ m.text }}{% endfor %}"
+    assert render(source, iter(m)) == "userassistantab"
+    nested = "{% for m in messages %}{% for n in messages %}{{ n.text }}{% endfor %};{% endfor %}"
+    assert render(nested, iter(m)) == "ab;ab;"
+
+
+@pytest.mark.parametrize("source", ["{% for m in messages %}{{ m.rol }}{% endfor %}", "{% for m in messages %}{% if m.txt == 'a' %}x{% endif %}{% endfor %}", "{% for m in messages %}{{ loop.frist }}{% endfor %}"])
+def test_misspelt_attributes_are_errors(source):
+    with pytest.raises(C.TemplateError):
+        C.compile_template(source)
+
+
 def test_constants_are_folded():
     assert C.fold_body(C.parse("a{{ 'b' + 'c'|upper }}{% if 'x' == 'y' %}no{% elif true %}d{% else %}e{% endif %}")) == (C.Node("text", "abCd"),)
 
@@ -278,31 +378,114 @@ def test_template_errors(source):
         C.compile_template(source)
 
 
-def brute_total(scorer, text):
+def brute_patterns(weight, text):
     """The grammar's rules without machines, word by word."""
-    total = 0.0
+    out = {}
     for clause in X.CLAUSE.split((text or "").lower()):
         words = X.WORD.findall(clause)
+        kind = ["I" if weight(w) else "H" if w in X.THREATS else "N" if w in X.NEGATIONS else "R" if w in X.REPORTS else "T" if w in X.TARGETS else "V" if w in X.INTENTS else "O" for w in words]
         for k, w in enumerate(words):
-            weight = scorer.weight(w)
-            if not weight and w not in X.THREATS:
+            if kind[k] not in "IH":
                 continue
-            kind = lambda x: None if scorer.weight(x) or x in X.THREATS else "T" if x in X.TARGETS else "N" if x in X.NEGATIONS else "R" if x in X.REPORTS else None
-            negated = any(kind(x) == "N" for x in words[max(0, k - 3) : k])
-            reported = any(kind(x) == "R" for x in words[:k])
-            aimed = any(kind(x) == "T" for x in words[max(0, k - 4) : k])
-            plain = "I" if weight else "H"
-            symbol = {"I": "i", "H": "h"}[plain] if negated else {"I": "J", "H": "K"}[plain] if reported else {"I": "A", "H": "B"}[plain] if aimed else plain
-            total += X.FACTORS[symbol] * (weight or 1.0)
-    return total
-
-
-@settings(max_examples=200)
-@given(st.lists(st.sampled_from("you are idiot not said kill stupidly the . no he and idio".split()), max_size=25))
+            near = lambda what, span, k=k, kind=kind: what in kind[max(0, k - span) : k]
+            if kind[k] == "I":
+                p = "C" if near("I", 5) else "I"
+            else:
+                p = "G" if near("V", 5) else "H"
+            if near("N", 3):
+                p = {"I": "i", "C": "i", "H": "h", "G": "h"}[p]
+            elif near("R", len(words)):
+                p = {"I": "J", "C": "J", "H": "K", "G": "K"}[p]
+            if near("T", 4) or "T" in kind[k + 1 : k + 4]:
+                p = X.AIMED.get(p, p)
+            out[p] = out.get(p, 0.0) + (weight(w) or 1.0)
+    return out
+
+
+@settings(max_examples=300)
+@given(st.lists(st.sampled_from("you are idiot not said kill killed stupidly we will the . no he and idio".split()), max_size=25))
 def test_grammar_equals_its_rules(words):
     scorer = X.Scorer({"idiot": 3.0, "stup*": 2.0})
     text = " ".join(words)
-    assert scorer.total(text) == pytest.approx(brute_total(scorer, text))
+    want = brute_patterns(scorer.weight, text)
+    got = scorer.patterns(text)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_patterns_decide_before_learning():
+    score = X.Scorer({"idiot": 3.0}).score
+    assert score("an idiot") < score("you are an idiot") < score("you idiot and we will kill you")
+    assert score("you are no idiot") < score("an idiot") and score("he said idiot") < score("idiot") < 0.5
+    assert score("we will kill you") > score("they kill time") and score(None) == score("") == score("kind words")
+
+
+def test_threats_are_known_in_their_forms():
+    assert {"killed", "killing", "tue", "schlage", "schlägt", "töten", "frappe", "matar", "mato", "shot"} <= X.THREATS and not {"tu", "the", "mate"} & X.TARGETS & X.THREATS
+
+
+def brute_learn(rows, labels):
+    """The lexicon and the patterns' counts from ``rows(doc_id, text)`` and ``labels(doc_id, toxic)`` by the definitions."""
+    label = {}
+    for i, toxic in labels:
+        if i is not None and toxic is not None and zlib.crc32(str(i).encode()) % 5:
+            label[i] = max(label.get(i, 0), int(toxic == 1))
+    texts = {}
+    for i, t in rows:
+        if i in label:
+            texts[t] = max(texts.get(t, 0), label[i])
+    one = {}
+    for t, toxic in texts.items():
+        key = (X.family(t), toxic)
+        one[key] = min(one.get(key, t), t)
+    sample = [(t, toxic) for (_, toxic), t in one.items()]
+    bad, good = sum(y for _, y in sample), sum(1 - y for _, y in sample)
+    count = {}
+    for t, y in sample:
+        words = set(X.WORD.findall(t.lower()))
+        for term in {w for w in words if len(w) <= X.LONGEST} | {w[:n] + "*" for w in words for n in X.PREFIXES if len(w) >= n}:
+            count.setdefault(term, [0, 0])[y] += 1
+    tested = {t: c for t, c in count.items() if sum(c) >= X.SUPPORT}
+    share, weights = bad / (bad + good), {}
+    for t, (g, b) in tested.items():
+        n = g + b
+        if b < X.SUPPORT or b <= n * share:
+            continue
+        surprise = b * np.log(b / (n * share)) + (g * np.log(g / (n * (1 - share))) if g else 0.0)
+        if surprise > np.log(len(tested) / X.BY_CHANCE) and X.term_weight(b, g, bad, good) > 0:
+            weights[t] = X.term_weight(b, g, bad, good)
+    return weights, sample
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    path = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    weights, sample = brute_learn(rows, [(r.doc_id, r.toxic) for r in labels.collect()])
+    scorer = X.learn(docs, labels)
+    assert {w: x for w, x in weights.items() if not w.endswith("*")} == pytest.approx(scorer.words, abs=1e-5)
+    assert all(weights[k + "*"] == pytest.approx(v, abs=1e-5) for n in X.PREFIXES for k, v in scorer.starts[n].items())
+    # the counts are where the penalised likelihood is largest: no slope in a free one, none upwards at the bound
+    x = np.array([[1.0, *(np.log1p(brute_patterns(scorer.weight, t).get(k, 0.0)) for k in X.NAMES)] for t, _ in sample])
+    beta = np.array([scorer.offset, *(scorer.counts[k] for k in X.NAMES)])
+    pull = np.array([0.01, *[X.PULL] * len(X.NAMES)]) * (beta - np.array([X.START, *X.PATTERNS.values()]))
+    slope = x.T @ (np.array([y for _, y in sample]) - 1 / (1 + np.exp(-x @ beta))) - pull
+    assert all(abs(g) < 1e-4 or (i and b == 0 and g < 0) for i, (g, b) in enumerate(zip(slope, beta, strict=True)))
+    got = {r.doc_id: (r.held_out, r.score, r.predicted) for r in X.toxicity(docs, labels).collect()}
+    assert set(got) == {i for i, _ in rows}
+    for i, t in rows:
+        z = scorer.offset + sum(scorer.counts[k] * np.log1p(v) for k, v in brute_patterns(scorer.weight, t).items())
+        score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        assert got[i] == (zlib.crc32(str(i).encode()) % 5 == 0, pytest.approx(score, abs=2e-9), int(round(score, 9) >= 0.5))
+
+
+def test_toxicity_words_shared_by_near_copies_are_not_learned(spark):
+    text = "some rare passage of quaint old words that stands in many copies "
+    rng = np.random.default_rng(2)
+    any_ = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(8))
+    rows = [(i, text + any_()[:4]) for i in range(60)] + [(100 + i, any_()) for i in range(300)] + [(1000 + i, f"{any_()} moron{'' if i % 2 else 's'} {any_()}") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i < 100 or i >= 1000)) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    scorer = X.learn(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    assert scorer.weight("moron") and scorer.weight("morons") and not scorer.weight("quaint")
 
 
 def test_toxicity_held_out(spark):
@@ -335,3 +518,9 @@ def test_toxicity_odd_rows(spark):
     got = X.toxicity(many, some).collect()
     assert all(r.predicted == r.doc_id % 2 for r in got)
     assert X.toxicity(many.limit(0), some).count() == 0
+    # labelled both ways, very long, of one unbroken word
+    both = some.unionByName(spark.createDataFrame([(5, 1, 0), (7, 1, 0)], some.schema))
+    extra = many.unionByName(spark.createDataFrame([(-1, "you idiot fool " + "word " * 400_000), (-2, "w" * 500_000), (-3, None)], many.schema))
+    first = {r.doc_id: r.predicted for r in X.toxicity(extra, both).collect()}
+    assert first == {r.doc_id: r.predicted for r in X.toxicity(extra.repartition(5), both.repartition(3)).collect()}
+    assert (first[-1], first[-2], first[-3]) == (1, 0, 0)
