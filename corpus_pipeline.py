@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm.common import stored, table
+from paperloom.llm.common import drop, settled, table
 from paperloom.llm.language_id import language_filter
 from paperloom.llm.packing import pack
 from paperloom.llm.quality_rules import quality_filter
@@ -38,7 +38,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are stored, and what the stage itself stored on the way is deleted with its input.
+
+    Nulls, repeated rows and ids, texts of any length, extra columns of any name and empty tables go through as the
+    stages define it: a null text has no language and goes, of equal rows one stays, an empty table gives no pieces.
+    """
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        after = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if k:
+            drop(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
