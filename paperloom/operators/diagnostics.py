@@ -13,12 +13,10 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 from paperloom.functions.schema import CRASH_FIELDS, chunk_row, time_range
 from paperloom.functions.text import Py
-from paperloom.operators.packing import spans
 
 # ------------------------------------------------------------------------------------------------ fixed values
 #: Lines that continue a stack trace.
 FRAME_LINE = r"^[\t ]+(?:at |frame #|\d+\s+0x|[\w.]+\()"
-ERROR_MARK = r"(?i)\b(?:error|exception|fatal|panic|crash|assert|abort)\b"
 #: Kind, pattern and severity (None: from the words of the block), the first that fits counts.
 KINDS = (
     ("testFailure", r"(?i)(?:Test Case '.*' failed|XCTAssert\w+\s+failed|Executed \d+ tests?,|\.swift:\d+(?::\d+)?:\s*error:.*(?:XCT|test|assert))", "error"),
@@ -274,4 +272,4 @@ def labelled_text(chunk: Column) -> Column:
     return F.concat(source_label(chunk), F.lit("\n"), chunk["text"])
 
 
-__all__ = ["CrashReportChunker", "LogChunker", "block_kind", "classify", "crash_sections", "labelled_text", "log_blocks", "source_label", "spans", "starts_block"]
+__all__ = ["CrashReportChunker", "LogChunker", "block_kind", "classify", "crash_sections", "labelled_text", "log_blocks", "source_label", "starts_block"]

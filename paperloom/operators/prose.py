@@ -23,6 +23,19 @@ def _row(keys: list[str], index: Column, text: Column, words: Column, start: Col
     return [*map(F.col, keys), *[(known[c] if c in known else F.lit(None)).cast(t).alias(c) for c, t in CHUNK_COLUMNS.items()]]
 
 
+def windows(text: Column, max_words: int, overlap_words: int = 0) -> Column:
+    """The windows of a text as structs ``(i, s, w)``: number, start and words; none for a text without words."""
+    size = max(1, max_words)
+    step = size - min(max(0, overlap_words), size - 1)
+
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(step))
+        made = F.transform(starts, lambda s, i: F.struct(i.cast("long").alias("i"), s.cast("long").alias("s"), F.slice(words, s + 1, size).alias("w")))
+        return F.filter(made, lambda x: F.size(x["w"]) > 0)
+
+    return T.let(T.words(text), cut)
+
+
 def fixed_chunks(docs: DataFrame, max_words: int = 1500, overlap_words: int = 0, *keys: str) -> DataFrame:
     """Windows of ``max_words`` words, each starting ``max_words - overlap_words`` after the one before.
 
@@ -30,16 +43,8 @@ def fixed_chunks(docs: DataFrame, max_words: int = 1500, overlap_words: int = 0,
     lost and a chunk has one speaker at most.
     """
     names = list(keys or ("doc_id",))
-    size = max(1, max_words)
-    step = size - min(max(0, overlap_words), size - 1)
-
-    def cut(words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(step))
-        made = F.transform(starts, lambda s, i: F.struct(i.cast("long").alias("i"), s.cast("long").alias("s"), F.slice(words, s + 1, size).alias("w")))
-        return F.when(F.size(words) > 0, made)
-
     # slices are made in the row, so that no row carries all words of its document
-    placed = docs.select(*names, F.inline(T.let(T.words(T.normalised(F.col("text"))), cut)))
+    placed = docs.select(*names, F.inline(windows(T.normalised(F.col("text")), max_words, overlap_words)))
     made = placed.select(*names, "i", "s", F.size("w").cast("long").alias("n"), F.array_join("w", " ").alias("t"))
     return made.select(*_row(names, F.col("i"), F.col("t"), F.col("n"), F.col("s")))
 

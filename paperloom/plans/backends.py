@@ -8,7 +8,7 @@ Python backend runs a function in Arrow batches, with its own retries and a boun
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -32,6 +32,10 @@ class Backend:
     def responses(self, prompts: Column, system: str | None = None, retry: RetryPolicy | None = None, in_flight: int = 1) -> Column:
         return F.transform(prompts, lambda p: self.response(p, system))
 
+    def completed(self, prompts: Column, system: str | None = None, retry: RetryPolicy | None = None, in_flight: int = 1) -> Column:
+        """``responses`` as structs ``(at, text)`` in the order in which the calls come back; here that of the prompts."""
+        return F.transform(self.responses(prompts, system, retry, in_flight), lambda s, i: F.struct(i.alias("at"), s.alias("text")))
+
     def fragments(self, response: Column) -> Column:
         """The pieces in which a response would arrive; one for a backend that does not stream."""
         return F.array(response)
@@ -70,11 +74,17 @@ class TokenAwareBackend(ExtractiveBackend):
     counter: TokenCounter = field(default_factory=TokenCounter)
 
 
+class Cancelled(RuntimeError):
+    """A run was given up before a call."""
+
+
 def with_retry(call: Callable[[], str], policy: RetryPolicy) -> str:
     """``call`` again until it succeeds or the attempts are used up; then its last error."""
     for attempt in range(1, policy.max_attempts + 1):
         try:
             return call()
+        except Cancelled:
+            raise
         except Exception:
             if attempt == policy.max_attempts:
                 raise
@@ -87,33 +97,54 @@ class PythonBackend(Backend):
     """``generate(prompt, system)`` in the workers. Calls are never made twice by the planner.
 
     ``on_error`` raise fails the job; null gives a null response, which the chain reports for its document.
+    ``cancelled`` is asked before each call, and no call is made once it says so: the job then fails with Cancelled.
     """
 
     generate: Callable[[str, str | None], str]
     on_error: str = "raise"
     context_window_tokens: int | None = None
     counter: TokenCounter | None = None
+    cancelled: Callable[[], bool] | None = None
+
+    def _column(self, prompts: Column, system: str | None, retry: RetryPolicy | None, in_flight: int, in_order: bool = True) -> Column:
+        generate, policy, quiet, cancelled = self.generate, retry or RetryPolicy(), self.on_error == "null", self.cancelled
 
-    def _column(self, prompts: Column, system: str | None, retry: RetryPolicy | None, in_flight: int) -> Column:
-        generate, policy, quiet = self.generate, retry or RetryPolicy(), self.on_error == "null"
+        def call(prompt: str) -> str:
+            if cancelled is not None and cancelled():
+                raise Cancelled
+            return generate(prompt, system)
 
         def one(prompt: str) -> str | None:
             try:
-                return with_retry(lambda: generate(prompt, system), policy)
+                return with_retry(lambda: call(prompt), policy)
+            except Cancelled:
+                raise
             except Exception:
                 if quiet:
                     return None
                 raise
 
+        def ask(pool: ThreadPoolExecutor, prompts: Sequence[str]) -> list:
+            if in_order:
+                return list(pool.map(one, prompts))
+            came: list[dict] = []
+            # the threads append as they finish; an append is one step
+            list(pool.map(lambda p: came.append({"at": p[0], "text": one(p[1])}), enumerate(prompts)))
+            return came
+
         def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             with ThreadPoolExecutor(max(1, in_flight)) as pool:
                 for batch, _ in batches:
-                    yield pd.Series([None if ps is None else list(pool.map(one, ps)) for ps in batch], dtype=object)
+                    yield pd.Series([None if ps is None else ask(pool, ps) for ps in batch], dtype=object)
 
         # the prompts are named twice so that they stay a column of their own: Spark does not evaluate a Python
         # function whose argument holds nested lambdas
         run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-        return F.pandas_udf(run, "array<string>").asNondeterministic()(prompts, F.size(prompts))
+        kind = "array<string>" if in_order else "array<struct<at: int, text: string>>"
+        return F.pandas_udf(run, kind).asNondeterministic()(prompts, F.size(prompts))
+
+    def completed(self, prompts: Column, system: str | None = None, retry: RetryPolicy | None = None, in_flight: int = 1) -> Column:
+        return self._column(prompts, system, retry, in_flight, in_order=False)
 
     def responses(self, prompts: Column, system: str | None = None, retry: RetryPolicy | None = None, in_flight: int = 1) -> Column:
         return self._column(prompts, system, retry, in_flight)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,7 +27,11 @@ class RetryPolicy:
 
 @dataclass(frozen=True)
 class ChainOptions:
-    """``max_concurrent_map_tasks`` bounds the calls in flight of one document. Results are always in order."""
+    """``max_concurrent_map_tasks`` bounds the calls in flight of one document.
+
+    Without ``preserve_order`` the map results of a document stand in the order in which its calls came back, each
+    with the label of its chunk; with one call at a time that is the order of its chunks.
+    """
 
     reserved_output_tokens: int = 512
     max_reduce_group_size: int = 8
@@ -65,28 +71,40 @@ class ContextBudget:
 
 
 class TokenCounter:
-    """Counts texts as a Column and in Python. This one estimates from words."""
+    """Counts texts as a Column and in Python. This one estimates from words, so it can count sums of words too."""
+
+    by_words = True
 
     def __init__(self, tokens_per_word: float = T.TOKENS_PER_WORD):
         self.ratio = max(T.LEAST_TOKENS_PER_WORD, tokens_per_word)
 
+    def of_words(self, n: Column) -> Column:
+        """The count of a text of ``n`` words."""
+        return T.estimated_tokens(n, self.ratio)
+
     def column(self, text: Column) -> Column:
-        return T.estimated_tokens(T.word_count(text), self.ratio)
+        return self.of_words(T.word_count(text))
+
+    def arrays(self, texts: Column) -> Column:
+        """The counts of an array of texts, 0 for an empty or missing one."""
+        return F.transform(texts, lambda t: F.when(F.coalesce(t, F.lit("")) == "", F.lit(0).cast("long")).otherwise(self.column(t)))
 
     def python(self, text: str) -> int:
         return max(1, int(Py.count(text) * self.ratio))
 
 
 class WordCounter(TokenCounter):
-    def column(self, text: Column) -> Column:
-        return T.word_count(text)
+    def of_words(self, n: Column) -> Column:
+        return n
 
     def python(self, text: str) -> int:
         return Py.count(text)
 
 
 class TokenizerCounter(TokenCounter):
-    """Exact counts by a tokenizer file, loaded once in each worker."""
+    """Exact counts by a tokenizer file, loaded once in each worker. Whole arrays of texts are counted in Arrow batches."""
+
+    by_words = False
 
     def __init__(self, path: str):
         super().__init__()
@@ -103,14 +121,21 @@ class TokenizerCounter(TokenCounter):
             self._tokenizer = Tokenizer.from_file(self.path)
         return len(self._tokenizer.encode(text, add_special_tokens=False).ids) if text else 0
 
-    def column(self, text: Column) -> Column:
-        import pandas as pd
+    def of_words(self, n: Column) -> Column:
+        raise TypeError("tokens do not follow from words")
+
+    def arrays(self, texts: Column) -> Column:
+        python = self.python
+
+        def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for batch, _ in batches:
+                yield pd.Series([None if ts is None else [python(t or "") for t in ts] for ts in batch], dtype=object)
 
-        @F.pandas_udf("bigint")
-        def count(texts: pd.Series) -> pd.Series:
-            return texts.map(self.python)
+        # named twice, and marked so that plans never repeat it, for the same reasons as a Python backend
+        return F.pandas_udf(count, "array<bigint>").asNondeterministic()(texts, F.size(texts))
 
-        return count(text)
+    def column(self, text: Column) -> Column:
+        return F.get(self.arrays(F.array(text)), 0)
 
 
 @dataclass(frozen=True)
@@ -145,6 +170,15 @@ class Budgeter:
         asked = F.lit(self.count_text(task)) if isinstance(task, str) else self.count(task)
         return asked + self.count(text) + fixed <= self.limit
 
+    def fits_words(self, system_prompt: str | None, task: str, n_words: Column, reserved_tokens: int) -> Column:
+        """``fits`` of a text that is not empty and has ``n_words`` words, where words are what counts."""
+        fixed = self.count_text(system_prompt or "") + self.units(reserved_tokens) + self.count_text(task)
+        return self.counter.of_words(n_words) + fixed <= self.limit
+
+    def fits_text(self, system_prompt: str | None, task: str, text: str, reserved_tokens: int) -> bool:
+        """``fits`` in Python."""
+        return self.count_text(system_prompt or "") + self.units(reserved_tokens) + self.count_text(task) + self.count_text(text) <= self.limit
+
     def available(self, system_prompt: str | None, task: str, reserved_tokens: int, safety_tokens: int = SAFETY_TOKENS) -> int:
         used = self.count_text(system_prompt or "") + self.count_text(task) + self.units(reserved_tokens) + self.units(safety_tokens)
         return max(1, self.limit - used)

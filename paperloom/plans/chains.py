@@ -7,9 +7,10 @@ without a shuffle, driver action or checkpoint, at any number of documents; the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,18 +78,53 @@ def chunk_range(label: Column) -> Column:
     return F.when(found == "", F.lit("?")).otherwise(found)
 
 
-def reduce_groups(summaries: Column, most: int, fits: object) -> Column:
-    """Summaries in order, in groups of ``most`` at most that ``fits(array)`` accepts; a lone one always goes."""
+#: Words of the line that stands before each summary.
+HEADER_WORDS = 6
+
+
+def reduce_groups(summaries: Column, most: int, fits: Callable[[Column], Column] | None) -> Column:
+    """Summaries in order, in groups of ``most`` at most of which ``fits(words)`` accepts the words; a lone one always goes.
+
+    The words of a group are those of its summaries and of the line before each, so a running sum is enough.
+    """
     if fits is None:
         return F.transform(F.sequence(F.lit(1), F.size(summaries), F.lit(most)), lambda a: F.slice(summaries, a, most))
-    first = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"))
+    whole = lambda x: F.lit(x).cast("long")
+    first = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"), whole(0).alias("words"))
+    sized = F.transform(summaries, lambda x: F.struct(x.alias("text"), (T.word_count(x) + HEADER_WORDS).alias("words")))
 
     def step(s: Column, x: Column) -> Column:
-        more = F.array_append(s["now"], x)
-        joins = (F.size(s["now"]) == 0) | ((F.size(more) <= most) & fits(more))
-        return F.struct(F.when(joins, s["done"]).otherwise(F.array_append(s["done"], s["now"])).alias("done"), F.when(joins, more).otherwise(F.array(x)).alias("now"))
+        words = s["words"] + x["words"]
+        joins = (F.size(s["now"]) == 0) | ((F.size(s["now"]) < most) & fits(words))
+        return F.struct(
+            F.when(joins, s["done"]).otherwise(F.array_append(s["done"], s["now"])).alias("done"),
+            F.when(joins, F.array_append(s["now"], x["text"])).otherwise(F.array(x["text"])).alias("now"),
+            F.when(joins, words).otherwise(x["words"]).alias("words"),
+        )
+
+    return F.aggregate(sized, first, step, lambda s: F.array_append(s["done"], s["now"]))
 
-    return F.aggregate(summaries, first, step, lambda s: F.array_append(s["done"], s["now"]))
+
+def exact_groups(summaries: Column, most: int, fits: Callable[[str], bool]) -> Column:
+    """``reduce_groups`` for counts that only a tokenizer knows, which need the whole text of each candidate group.
+
+    A struct of whether all summaries fit one call, and of the groups, from one function over Arrow batches.
+    """
+
+    def cut(texts: list[str]) -> dict:
+        groups: list[list[str]] = []
+        for t in texts:
+            if groups and len(groups[-1]) < most and fits(P.format_texts([*groups[-1], t])):
+                groups[-1].append(t)
+            else:
+                groups.append([t])
+        return {"last": fits(P.format_texts(texts)), "groups": groups}
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for batch, _ in batches:
+            yield pd.DataFrame([{"last": False, "groups": []} if ts is None or not len(ts) else cut(list(ts)) for ts in batch], columns=["last", "groups"])
+
+    return F.pandas_udf(run, "last boolean, groups array<array<string>>").asNondeterministic()(summaries, F.size(summaries))
 
 
 @dataclass(frozen=True)
@@ -159,11 +195,10 @@ class Chain:
         )
 
     def _tokens(self, texts: Column) -> Column:
-        """Exact tokens of an array of texts with a token-aware backend, else 0."""
+        """Tokens of an array of texts, as a token-aware backend counts them, else 0."""
         if self.backend.context_window_tokens is None:
             return F.lit(0).cast("long")
-        count = self.backend.counter
-        return F.aggregate(F.transform(texts, lambda t: F.when(F.coalesce(t, F.lit("")) == "", F.lit(0).cast("long")).otherwise(count.column(t))), F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.aggregate(self.backend.counter.arrays(texts), F.lit(0).cast("long"), lambda a, x: a + x)
 
     def _stuffed(self, frame: DataFrame, system: str | None, options: ChainOptions) -> DataFrame:
         """One call where the route says so; it is never tried again."""
@@ -175,14 +210,23 @@ class Chain:
 
     def _mapped(self, frame: DataFrame, map_prompt: str, system: str | None, options: ChainOptions) -> DataFrame:
         asked = F.transform("chunks", lambda c: P.map_prompt(map_prompt, c, F.size("chunks"), options.prompt_style))
-        frame = frame.withColumn("__asked", asked).withColumn("__answers", self.backend.responses(F.col("__asked"), system, options.retry, options.max_concurrent_map_tasks))
-        label = F.transform("__answers", lambda s, i: F.concat(F.lit("[Chunk "), (i + 1).cast("string"), F.lit("] "), s))
-        return frame.withColumns({"__first": label, "__in": F.col("__in") + self._tokens(F.col("__asked")), "__out": F.col("__out") + self._tokens(F.col("__answers"))}).drop("__asked", "__answers")
+        frame = frame.withColumn("__asked", asked)
+        numbered = lambda at, s: F.concat(F.lit("[Chunk "), (at + 1).cast("string"), F.lit("] "), s)
+        if options.preserve_order:
+            frame = frame.withColumn("__answers", self.backend.responses(F.col("__asked"), system, options.retry, options.max_concurrent_map_tasks))
+            label = F.transform("__answers", lambda s, i: numbered(i, s))
+        else:
+            frame = frame.withColumn("__came", self.backend.completed(F.col("__asked"), system, options.retry, options.max_concurrent_map_tasks)).withColumn("__answers", F.transform("__came", lambda c: c["text"]))
+            label = F.transform("__came", lambda c: numbered(c["at"], c["text"]))
+        frame = frame.withColumn("__first", label)
+        return frame.withColumns({"__in": F.col("__in") + self._tokens(F.col("__asked")), "__out": F.col("__out") + self._tokens(F.col("__answers"))}).drop("__asked", "__answers", "__came")
 
     def _reduced(self, frame: DataFrame, reduce_prompt: str, system: str | None, options: ChainOptions) -> DataFrame:
         """Level after level until one call holds all summaries; rows that are done ask nothing more."""
         budgeter = Budgeter.of(self.backend, self.budget) if self.budget is not None else None
-        fits = None if budgeter is None else lambda xs: budgeter.fits(system, reduce_prompt, P.format_summaries(xs), options.reserved_output_tokens)
+        reserved, most = options.reserved_output_tokens, max(2, options.max_reduce_group_size)
+        exact = budgeter is not None and not budgeter.counter.by_words
+        fits = None if budgeter is None or exact else lambda words: budgeter.fits_words(system, reduce_prompt, words, reserved)
         none = F.array().cast("array<string>")
         failed = F.exists("__first", lambda s: s.isNull())
         frame = frame.withColumns({
@@ -191,9 +235,14 @@ class Chain:
         })
         for _ in range(options.max_reduce_depth if self.strategy != "stuff" else 0):
             waits = F.size("__now") > 0
-            last = waits & (F.lit(True) if fits is None else fits(F.col("__now")))
-            frame = frame.withColumn("__last", last)
-            groups = F.when(~waits, F.array().cast("array<array<string>>")).when(F.col("__last"), F.array("__now")).otherwise(reduce_groups(F.col("__now"), max(2, options.max_reduce_group_size), fits))
+            if exact:
+                frame = frame.withColumn("__cut", exact_groups(F.col("__now"), most, lambda text: budgeter.fits_text(system, reduce_prompt, text, reserved)))
+                last, cut = F.col("__cut.last"), F.col("__cut.groups")
+            else:
+                words = F.aggregate("__now", F.lit(0).cast("long"), lambda a, x: a + T.word_count(x) + HEADER_WORDS)
+                last, cut = F.lit(True) if fits is None else fits(words), reduce_groups(F.col("__now"), most, fits)
+            frame = frame.withColumn("__last", waits & last)
+            groups = F.when(~waits, F.array().cast("array<array<string>>")).when(F.col("__last"), F.array("__now")).otherwise(cut)
             frame = frame.withColumn("__groups", groups)
             frame = frame.withColumn("__asked", F.transform("__groups", lambda g: P.reduce_prompt(F.col("__reduce"), g, options.prompt_style)))
             frame = frame.withColumn("__answers", self.backend.responses(F.col("__asked"), system, options.retry))
@@ -203,7 +252,7 @@ class Chain:
                 "__result": F.coalesce("__result", F.when(F.col("__last"), F.get("__answers", 0))), "__error": F.coalesce("__error", F.when(failed, F.lit(NO_RESPONSE))),
                 "__now": F.when(F.col("__last") | failed, none).otherwise(named), "levels": F.when(F.size("__groups") > 0, F.array_append("levels", F.size("__groups"))).otherwise(F.col("levels")),
                 "__in": F.col("__in") + self._tokens(F.col("__asked")), "__out": F.col("__out") + self._tokens(F.col("__answers")),
-            }).drop("__last", "__groups", "__asked", "__answers")
+            }).drop("__last", "__groups", "__asked", "__answers", "__cut")
         return frame.withColumn("__error", F.coalesce("__error", F.when(F.size("__now") > 0, F.lit(DEPTH_EXCEEDED))))
 
     def without_retry(self, options: ChainOptions) -> ChainOptions:

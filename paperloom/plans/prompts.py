@@ -53,6 +53,11 @@ def format_summaries(summaries: Column) -> Column:
     return F.array_join(each, "\n\n")
 
 
+def format_texts(summaries: list[str]) -> str:
+    """``format_summaries`` in Python."""
+    return "\n\n".join(f"--- Section {i} of {len(summaries)} ---\n{s}" for i, s in enumerate(summaries, 1))
+
+
 def reduce_prompt(task: Column | str, summaries: Column, style: str = "raw") -> Column:
     combined = format_summaries(summaries)
     if style == "raw":
@@ -67,6 +72,11 @@ def stuff_prompt(task: Column | str, text: Column, style: str = "raw", chunk: Co
     return F.concat(_lit(task), F.lit('\n\n<source words="0-'), T.word_count(text).cast("string"), F.lit('"'), F.when(more != "", F.concat(F.lit(" "), more)).otherwise(F.lit("")), F.lit(">\n"), text, F.lit("\n</source>"))
 
 
+def stuff_text(task: str, text: str, style: str = "raw") -> str:
+    """``stuff_prompt`` in Python."""
+    return task + text if style == "raw" else f'{task}\n\n<source words="0-{T.Py.count(text)}">\n{text}\n</source>'
+
+
 @dataclass(frozen=True)
 class Template:
     map_prompt: str

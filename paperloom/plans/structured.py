@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, StructType
 from paperloom.functions.text import Py
 from paperloom.plans.budget import ChainOptions, RetryPolicy
 from paperloom.plans.chains import Chain
+from paperloom.sources.stored import stored
 
 FENCE_OPEN = r"```(?:json|JSON)?\s*\n?"
 FENCE_CLOSE = r"\n?\s*```\s*$"
@@ -83,7 +84,8 @@ def run_json(chain: Chain, docs: DataFrame, schema: StructType | ArrayType, map_
     """``docs(doc_id, text)`` -> ``(doc_id, value, error, raw_text)``.
 
     Rows that failed are run again, with their error appended to the reduce prompt and without inner retries, up to
-    the policy's attempts. Each round is kept, so that no model is asked twice. With a stuff prompt a document that
+    the policy's attempts. Each round is written to the shared folder, so that no model is asked twice even if
+    executors are lost. With a stuff prompt a document that
     takes one call never sees the hint. ``doc_id`` must be unique.
     """
     options = options or ChainOptions()
@@ -95,7 +97,8 @@ def run_json(chain: Chain, docs: DataFrame, schema: StructType | ArrayType, map_
         ran = _with_hint(chain, left, map_prompt, reduce_prompt, stuff_prompt, system, told)
         cleaned = ran.withColumn("cleaned", extract_json("text"))
         value, error = decoded_clean(F.col("cleaned"), schema)
-        tried = cleaned.select("doc_id", value.alias("value"), F.coalesce("error", error).alias("error"), F.col("text").alias("raw_text")).persist()
+        tried = cleaned.select("doc_id", value.alias("value"), F.coalesce("error", error).alias("error"), F.col("text").alias("raw_text"))
+        tried = stored(tried)
         good = tried if attempt == attempts else tried.where("error IS NULL")
         if attempt == attempts and attempts > 1:
             good = good.withColumn("error", F.when(F.col("error").isNotNull(), F.concat(F.lit(f"{EXHAUSTED}: "), "error")))

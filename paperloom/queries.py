@@ -12,9 +12,10 @@ from paperloom.functions import text as T
 from paperloom.operators import diagnostics as D
 from paperloom.operators.documents import CodeBlockChunker, DocumentStructureChunker, MarkdownChunker, SentenceChunker
 from paperloom.operators.packing import groups
-from paperloom.operators.prose import FixedChunker, fixed_chunks, sentence_chunks
+from paperloom.operators.prose import FixedChunker, fixed_chunks, sentence_chunks, windows
 from paperloom.operators.tables import chunk, with_lines
 from paperloom.operators.transcript import TranscriptChunker
+from paperloom import more_queries
 from paperloom.oracles import ORACLES as ORACLES
 from paperloom.plans import prompts as P
 from paperloom.plans.backends import ExtractiveBackend
@@ -98,12 +99,13 @@ def markdown_sections(s: SparkSession, d: str) -> DataFrame:
     return _flat(chunk(markdown_text(s, d), MarkdownChunker(100_000), "page_id"), "page_id")
 
 
-def _prompts(style: str) -> Callable[[SparkSession, str], DataFrame]:
+def _prompts(style: str, size: int = 128, overlap: int = 32) -> Callable[[SparkSession, str], DataFrame]:
     def run(s: SparkSession, d: str) -> DataFrame:
-        rows = fixed_chunks(documents(s, d), 128, 32)
-        total = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
-        whole = F.struct(*[c for c in rows.columns if c != "doc_id"])
-        return rows.select("doc_id", "chunk_index", whole.alias("c")).join(total, "doc_id").select("doc_id", "chunk_index", P.map_prompt(MAP_TASK, F.col("c"), F.col("total"), style).alias("prompt"))
+        # the number of windows follows from the number of words
+        docs = documents(s, d).withColumn("total", F.ceil(T.word_count(T.normalised(F.col("text"))) / (size - overlap)))
+        rows = fixed_chunks(docs, size, overlap, "doc_id", "total")
+        whole = F.struct(*[c for c in rows.columns if c not in ("doc_id", "total")])
+        return rows.select("doc_id", "chunk_index", P.map_prompt(MAP_TASK, whole, F.col("total"), style).alias("prompt"))
 
     return run
 
@@ -147,9 +149,9 @@ def json_extract(s: SparkSession, d: str) -> DataFrame:
 
 def coverage_check(s: SparkSession, d: str) -> DataFrame:
     """Words of each document and words of its chunks: they must be the same number, and the missing none."""
-    docs = documents(s, d)
-    counted = fixed_chunks(docs, 128).groupBy("doc_id").agg(F.sum("word_count").alias("n_chunked"), F.max("source_word_range.end").alias("last_word"))
-    return docs.select("doc_id", T.word_count(T.normalised(F.col("text"))).alias("n_words")).join(counted, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_chunked", F.lit(0)).cast("long").alias("n_chunked"), F.coalesce("last_word", F.lit(0)).cast("long").alias("last_word"))
+    text = T.normalised(F.col("text"))
+    docs = documents(s, d).select("doc_id", T.word_count(text).alias("n_words"), windows(text, 128).alias("w"))
+    return docs.select("doc_id", "n_words", F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.size(x["w"])).alias("n_chunked"), F.coalesce(F.element_at("w", -1)["s"] + F.size(F.element_at("w", -1)["w"]), F.lit(0).cast("long")).alias("last_word"))
 
 
 def _structure(chunker: object) -> Callable[[SparkSession, str], DataFrame]:
@@ -193,7 +195,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "diagnostic_labels": diagnostic_labels,
     "markdown_sections": markdown_sections,
     "markdown_chunks": lambda s, d: _flat(chunk(markdown_text(s, d), MarkdownChunker(TARGET), "page_id"), "page_id"),
-    "docstructure_chunks": _structure(DocumentStructureChunker(40)),
+    "sentence_overlap_chunks": lambda s, d: _flat(chunk(documents(s, d), SentenceChunker(TARGET, 1))),
+    "docstructure_chunks": _structure(DocumentStructureChunker(10)),
+    "docstructure_overlap": _structure(DocumentStructureChunker(40, 1)),
     "codeblock_chunks": _structure(CodeBlockChunker(40)),
     "crash_sections": crash_chunks,
     "map_prompts_raw": _prompts("raw"),
@@ -208,3 +212,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coverage_check": coverage_check,
     "prompt_templates": lambda s, d: P.template_table(s),
 }
+QUERIES |= more_queries.QUERIES

@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.operators.tables import Chunker, chunk
@@ -83,5 +84,10 @@ def memory_pressure(free_mb: float | None = None) -> tuple[str, int]:
     return ("critical" if free_mb < CRITICAL_MB else "warning" if free_mb < WARNING_MB else "ok"), int(free_mb)
 
 
+def memory_level(free_mb: Column) -> Column:
+    """``memory_pressure`` of a column of free MB."""
+    return F.when(free_mb < CRITICAL_MB, "critical").when(free_mb < WARNING_MB, "warning").otherwise("ok")
+
+
 def should_proceed(free_mb: float | None = None) -> bool:
     return memory_pressure(free_mb)[0] != "critical"

@@ -40,9 +40,9 @@ def markdown_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structure_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page as a document with page marks, headings, a table, code, a list and a quote."""
+    """Each page as a document with page marks, headings, a table, code, a list, a quote, a rule, a figure and a note."""
     body = F.array_join(F.transform(_paragraphs(F.col("html")), lambda p, i: F.concat(F.lit("[page "), (i + 1).cast("string"), F.lit("]\n## Part "), (i + 1).cast("string"), F.lit("\n"), p)), "\n\n")
-    more = "\n\n| key | value |\n|---|---|\n| page | here |\n\n```\n# not a heading\nrun()\n```\n\n- first item\n- second item\n\n> quoted words\n\nTitle\n=====\nlast words"
+    more = "\n\n| key | value |\n|---|---|\n| page | here |\n\n```\n# not a heading\nrun()\n```\n\n- first item\n- second item\n\n> quoted words\n\n---\n\n![a figure](f.png)\n\n[^1]: a note\n\nTitle\n=====\nlast words"
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(F.lit("# "), _title(F.col("html")), F.lit("\n\n"), body, F.lit(more)).alias("text"))
 
 
@@ -63,3 +63,46 @@ def crash_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n\nThread 0 Crashed:\n0   app   0x0000000100000001 main + 1\n1   lib   0x0000000100000002 start + 2\n2   lib   0x0000000100000003 0x100000000 + 3\n\nThread 1:\n0   lib   0x0000000100000004 wait + 4\n\nThread 0 crashed with ARM Thread State (64-bit):\n    x0: 0x1   x1: 0x2\n\nBinary Images:\n0x100000000 - 0x100001000 app"), number,
     ]
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("supp_id"), F.concat(*parts).alias("text"))
+
+
+#: A log block of each kind; @ is the number of the supplier whose log it is.
+KIND_BLOCKS = (
+    "2024-01-02 03:04:01 Test Case 'AppTests.testLogin@' failed (0.1 seconds).",
+    "2024-01-02 03:04:02 Undefined symbols for architecture arm64",
+    "2024-01-02 03:04:03 Command SwiftCompile failed with a nonzero exit code",
+    "2024-01-02 03:04:04 compile\n/src/File@.swift:12:5: warning: unused value",
+    "2024-01-02 03:04:05 app@[12:34] Main Thread Checker: interface call",
+    "2024-01-02 03:04:06 Fatal error: index out of range",
+    "2024-01-02 03:04:07.123+0100 board@[55:66] [com.example.ui] debug layout",
+    "2024-01-02 03:04:08.5 board@[5:6] [layout] info pass",
+    "2024-01-02 03:04:09 console\n03:04:09.1+0000 netd[7:8] [net.example] fatal drop",
+    "2024-01-02 03:04:10 trace\n0   app   0x0000000100000001 main\n1   lib   0x0000000100000002 start\n2   lib   0x0000000100000003 wait",
+    "2024-01-02 03:04:11 info started @",
+    "2024-01-02 03:04:12 debug stopped",
+)
+
+
+def _of_supplier(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    number = F.col("s_suppkey").cast("string")
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("supp_id"), F.replace(F.lit(text), F.lit("@"), number).alias("text"))
+
+
+def kind_log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log for each supplier with a block of each kind."""
+    return _of_supplier(spark, sf_dir, "\n".join(KIND_BLOCKS))
+
+
+#: The lines of a JSON crash report.
+JSON_REPORT = ('{"app_name":"app@",', '"bundleID": "org.example",', '"exception":"EXC @",', '"faultingThread":0,', '"threads":[', '{"frame": 1}],', '"usedImages":[1]}')
+
+
+def json_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_supplier(spark, sf_dir, "\n".join(JSON_REPORT))
+
+
+def topic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for each supplier: with headings of every kind, by fives one without headings and one that is empty."""
+    number, key = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 5
+    topics = "# Intro @\nfirst words here\n**Bold Part**\nmore and more\nPLAIN CAPS\nx y\nTopic: Last one\nz at 10:30 z"
+    text = F.when(key == 3, F.lit("")).when(key == 4, F.lit("just one line @\n01:02 another line")).otherwise(F.lit(topics))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("supp_id"), F.replace(text, F.lit("@"), number).alias("text"))
