@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,11 +28,16 @@ def chain_stream(docs: DataFrame, chain: Chain, sink: Callable[[DataFrame, int],
 
 @dataclass
 class Runner:
-    """A run in the background with its state. A new run cancels the one before."""
+    """A run in the background with its state. A new run cancels the one before.
+
+    ``run`` makes a table; ``follow`` goes through events, such as those of ``single.stream`` or ``stream_call``: the
+    phase is that of the last progress, ``partial_text`` what has come so far.
+    """
 
     spark: SparkSession
     phase: str = "idle"
-    result: list | None = None
+    result: list | str | None = None
+    partial_text: str = ""
     error: BaseException | None = None
     _tag: str | None = None
     _thread: threading.Thread | None = field(default=None, repr=False)
@@ -44,8 +49,8 @@ class Runner:
     def run(self, make: Callable[[], DataFrame]) -> None:
         """``make`` gives the results, which are collected: for the few documents of an interactive run."""
         self.cancel()
-        tag = self._tag = f"run-{uuid.uuid4().hex}"
-        self.phase, self.result, self.error = "running", None, None
+        tag = f"run-{uuid.uuid4().hex}"
+        self._start(tag)
 
         def work() -> None:
             self.spark.sparkContext.setJobGroup(tag, "a watched run", interruptOnCancel=True)
@@ -57,9 +62,42 @@ class Runner:
                 if self._tag == tag:
                     self.error, self.phase = e, "failed"
 
+        self._go(work)
+
+    def _start(self, tag: str) -> None:
+        self._tag = tag
+        self.phase, self.result, self.error, self.partial_text = "running", None, None, ""
+
+    def _go(self, work: Callable[[], None]) -> None:
         self._thread = threading.Thread(target=work, daemon=True)
         self._thread.start()
 
+    def follow(self, make: Callable[[], Iterator]) -> None:
+        """``make`` gives events in order; a cancelled run takes no further one."""
+        self.cancel()
+        tag = f"run-{uuid.uuid4().hex}"
+        self._start(tag)
+
+        def work() -> None:
+            self.spark.sparkContext.setJobGroup(tag, "a watched run", interruptOnCancel=True)
+            try:
+                for e in make():
+                    if self._tag != tag:
+                        return
+                    if e["type"] == "progress":
+                        self.phase = e["phase"]
+                    elif e["type"] == "chunk":
+                        self.partial_text += e["text"] or ""
+                    else:
+                        self.result = e["text"]
+                if self._tag == tag:
+                    self.phase = "complete"
+            except Exception as e:
+                if self._tag == tag:
+                    self.error, self.phase = e, "failed"
+
+        self._go(work)
+
     def cancel(self) -> None:
         if self.is_running:
             tag, self._tag = self._tag, None

@@ -1,5 +1,6 @@
 """Exact token budgets, streams of live calls, completion order, cancellation, metrics, and the SQL of the queries."""
 
+import threading
 import time
 
 import duckdb
@@ -19,6 +20,7 @@ from paperloom.plans.backends import Cancelled, CannedBackend, ExtractiveBackend
 from paperloom.plans.budget import Budgeter, ChainOptions, ContextBudget, TokenizerCounter
 from paperloom.plans.chains import Chain, reduce_groups
 from paperloom.plans.prompts import format_texts
+from paperloom.streaming.runs import Runner
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -147,6 +149,40 @@ def test_fragments_come_while_the_call_runs():
     assert 'words="0-2">' in made
 
 
+def test_runner_follows_a_live_call(spark):
+    runner, go = Runner(spark), threading.Event()
+
+    def generate(prompt, system):
+        yield "one "
+        go.wait(20)
+        yield "two"
+
+    runner.follow(lambda: single.stream_call(generate, "x"))
+    for _ in range(200):
+        if runner.partial_text == "one ":
+            break
+        time.sleep(0.05)
+    assert (runner.phase, runner.partial_text, runner.result, runner.is_running) == ("stuffing", "one ", None, True)
+    go.set()
+    runner.wait(20)
+    assert (runner.phase, runner.partial_text, runner.result) == ("complete", "one two", "one two")
+    again = threading.Event()
+    runner.follow(lambda: single.stream_call(lambda p, s: iter(["a" if again.wait(0.2) else "b"] * 50), "x"))
+    runner.cancel()
+    assert runner.phase == "cancelled" and runner.result is None
+
+    def broken(prompt, system):
+        yield "a"
+        raise ValueError("no model")
+
+    runner.follow(lambda: single.stream_call(broken, "x"))
+    runner.wait(20)
+    assert runner.phase == "failed" and "no model" in str(runner.error) and runner.partial_text == "a"
+    runner.follow(lambda: single.stream(spark, Chain(CannedBackend("said"), "stuff"), "text", reduce_prompt="r "))
+    runner.wait(60)
+    assert (runner.phase, runner.partial_text, runner.result) == ("complete", "said", "said")
+
+
 def test_metrics_of_one_run(spark):
     chain = Chain(TokenAwareBackend(words=5, context_window_tokens=4096), "stuff")
     row, metrics = single.run_with_metrics(spark, chain, "a b c d e f", reduce_prompt="r ")
