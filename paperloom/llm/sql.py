@@ -1,5 +1,9 @@
-"""DuckDB SQL for the rows of the queries that SQL can express: license scans, quality rules and URL filters."""
+"""DuckDB SQL for the rows of the queries that SQL can express.
 
+The others need hashes, tokenizers or fitted models that SQL has not; tests hold them against brute force.
+"""
+
+from paperloom.llm import embedding_dedup as E
 from paperloom.llm import license_scan as S
 from paperloom.llm import quality_rules as Q
 from paperloom.llm import url_filter as U
@@ -88,4 +92,28 @@ def _url() -> str:
     SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= {U.BLOCK_PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM named JOIN pure USING (host, flat)"""
 
 
-ORACLES: dict[str, str] = {"op1_license_scan": _license(), "op2_quality_rules": _quality(), "op10_url_filter": _url()}
+def _embeddings() -> str:
+    """All pairs of a label, and what is reachable by links; the exact result that the index comes near to."""
+    return f"""WITH RECURSIVE every AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+    fine AS (SELECT * FROM every WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.r AS u, b.r AS v FROM fine a JOIN fine b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {E.COSINE}),
+    reach AS (SELECT u, v FROM links UNION SELECT l.u, x.v FROM links l JOIN reach x ON l.v = x.u),
+    least AS (SELECT u, min(vec_id) AS m FROM reach JOIN every ON r = v GROUP BY u),
+    counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, m) AS component_id, vec_id IS NOT DISTINCT FROM least(vec_id, m) AS kept
+    FROM every LEFT JOIN least ON least.u = r LEFT JOIN counts ON counts.u = r"""
+
+
+def _chat() -> str:
+    """The digests of each conversation's turns in order; a mark adds a letter wherever the text has one to escape."""
+    marks = lambda c: f"(length({c}) + length(regexp_replace({c}, '[^<>\\\\]', '', 'g')))"
+    own = _quoted(r"\### Assistant: </turn> ok")
+    said = "string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant')"
+    return f"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', {own} UNION ALL SELECT -7, 1, 'assistant', {own})
+    SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce({said}, '')) AS loss_sha256,
+      sum({len('<turn ></turn>')} + {marks('role')} + {marks('text')})::BIGINT AS formatted_chars FROM turns GROUP BY conv_id"""
+
+
+ORACLES: dict[str, str] = {"op1_license_scan": _license(), "op2_quality_rules": _quality(), "op5_embedding_dedup": _embeddings(), "op8_chat_format": _chat(), "op10_url_filter": _url()}
