@@ -127,18 +127,14 @@ def tokenizer_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         nonlocal young, old, held
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            if len(text) > LONG and max(map(len, words)) > LONG:
-                long = {w: encoded(w) for w in set(words) if len(w) > LONG}
-                learn(set(words).difference(young, long))
-                out.append(np.frombuffer(b"".join([long[w] if w in long else young[w] for w in words]), "<u4"))
-            else:
-                learn(set(words).difference(young))
-                out.append(np.frombuffer(b"".join(map(young.__getitem__, words)), "<u4"))
-            if len(young) > CACHED_WORDS or held > CACHED_BYTES:
-                old, young, held = young, {}, 0
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(young)
+        long = {w: encoded(w) for w in new if len(w) > LONG}
+        learn(new.difference(long))
+        known = (lambda w: long[w] if w in long else young[w]) if long else young.__getitem__
+        out = [np.frombuffer(b"".join(map(known, words)), "<u4") for words in split]
+        if len(young) > CACHED_WORDS or held > CACHED_BYTES:
+            old, young, held = young, {}, 0
         return out
 
     return encode
