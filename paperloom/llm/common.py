@@ -93,6 +93,19 @@ def settled(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def written() -> set[str]:
+    """The stored tables that are there."""
+    return set(_WRITTEN)
+
+
+def forget(tables: set[str], but: DataFrame) -> None:
+    """Deletes those of the tables that ``but`` does not read."""
+    read = {f.rsplit("/", 1)[0] for f in but.inputFiles()} if tables else set()
+    for path in tables:
+        if not any(f.rstrip("/").endswith(path.split(":", 1)[-1].rstrip("/").lstrip("/")) for f in read):
+            _delete(path)
+
+
 def release() -> None:
     """Deletes all stored tables; results that read them must have been written or collected."""
     for path in list(_WRITTEN):

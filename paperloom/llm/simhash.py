@@ -146,15 +146,25 @@ def simhash(docs: DataFrame) -> DataFrame:
 def simhash_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the first row, by doc_id, stays.
 
-    Rows, not ids, are told apart, so of repeated rows one stays; rows with a null doc_id come last. Rows get their
-    numbers once, where they are stored: numbers made anew in another plan would name other rows. An empty table
-    stays empty, and columns of any names are handed through.
+    Rows are known by hashes of their id and text, which any plan finds again, and not by numbers, which another plan
+    might give to other rows. Of rows with one id and one text one stays, as they are near copies of each other; rows
+    with a null doc_id come last. An empty table stays empty, and columns of any names are handed through. No text
+    is written or dealt out, but for those of repeated rows, and where ids of the rows that go are too many to be
+    broadcast.
     """
-    base = stored(docs.select(F.monotonically_increasing_id().alias("row"), whole_row(docs).alias("document")))
-    fps = stored(fingerprints(base.select("row", F.col("document.doc_id").alias("doc_id"), F.col("document.text").alias("text")), "row", "doc_id"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = [F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(text, "doc_id", F.lit(1)).alias("k2")]
+    fps = stored(fingerprints(docs.select("doc_id", *key, "text"), "doc_id", "k1", "k2"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("k1"), F.col("k2"))
     nodes = stored(fps.groupBy("fp").agg(F.min(order).alias("least")))
-    first = settled(lambda: classes(nodes).select("component_id.row").distinct())
-    gone = stored(fps.select("row").join(first, "row", "left_anti"))
+    first = settled(lambda: classes(nodes).select("component_id.k1", "component_id.k2").distinct())
+    rows = fps.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    gone = stored(rows.join(first, ["k1", "k2"], "left_anti").select("k1", "k2"))
+    again = stored(rows.where("n > 1").join(first, ["k1", "k2"], "left_semi").select("k1", "k2"))
+    repeats = not again.isEmpty()
     drop(fps, nodes, first)
-    return base.join(small_or_shuffled(gone), "row", "left_anti").select("document.*")
+    left = docs.select(whole_row(docs).alias("document"), *key).join(small_or_shuffled(gone), ["k1", "k2"], "left_anti")
+    if not repeats:
+        return left.select("document.*")
+    once, several = (left.join(small_or_shuffled(again), ["k1", "k2"], how) for how in ("left_anti", "left_semi"))
+    return once.unionByName(several.dropDuplicates(["k1", "k2"])).select("document.*")
