@@ -2,34 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm.common import drop, settled, table
+from paperloom.llm.common import drop, forget, settled, table, written
 from paperloom.llm.language_id import language_filter
 from paperloom.llm.packing import pack
 from paperloom.llm.quality_rules import quality_filter
 from paperloom.llm.simhash import simhash_filter
 
 
+#: Tables that the last stage stored on its way. Its rows are written when the next stage begins, and then these go.
+_LEFT: set[str] = set()
+
+
+def _staged(docs: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    forget(_LEFT, but=docs)
+    before = written()
+    out = make(docs)
+    _LEFT.clear()
+    _LEFT.update(written() - before)
+    return out
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that resemble no learned language go."""
-    return language_filter(docs)
+    return _staged(docs, language_filter)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules, or the stricter rules on a marked host, go."""
-    return quality_filter(docs)
+    return _staged(docs, quality_filter)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash_filter(docs)
+    return _staged(docs, simhash_filter)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of at most 4096 tokens."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return _staged(docs, lambda rows: pack(rows, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [("language ID", language), ("quality rules", quality), ("SimHash near-dedup", near_dedup), ("packing", packing)]
