@@ -7,6 +7,8 @@ are marked. Documents of marked hosts must also pass the stricter rules.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,28 +22,37 @@ MOST_REPEATED = 30
 HOST_RATE, HOST_TIMES = 0.3, 2.0
 
 
-def repeated_words(words: Column, window: int = WINDOW) -> Column:
+def repeated_words(words: Column, window: int = WINDOW, hashed: Callable[[Column], Column] = F.xxhash64) -> Column:
     """Words that stand in a window of ``window`` words found twice or more in the array, the first find included.
 
     Each window's 64-bit hash keeps its upper bits and gets its position in the lower ones; after sorting, equal
-    windows are neighbours. All in one row: no rows are dealt out and nothing is collected across documents.
+    windows are neighbours. Where unlike windows share upper bits, and so could part equal ones, the row is sorted
+    again by whole hashes. Neighbours are compared word by word. All in one row: no rows are dealt out and nothing is
+    collected across documents.
     """
     size = F.size(words)
 
     def count(hashes: Column) -> Column:
         low = F.pow(F.lit(2.0), F.ceil(F.log2(size))).cast("long") - 1
-        return let(low, lambda low: let(F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))), lambda packed: among(hashes, packed, low)))
+        return let(low, lambda low: let(F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))), lambda packed: sorted_(hashes, packed, low)))
 
-    def among(hashes: Column, packed: Column, low: Column) -> Column:
+    def sorted_(hashes: Column, packed: Column, low: Column) -> Column:
+        upper = lambda p: p.bitwiseAND(F.bitwise_not(low))
         at = lambda p: F.get(hashes, p.bitwiseAND(low).cast("int"))
-        same = lambda p, q: q.isNotNull() & (at(p) == at(q))
-        again = F.filter(packed, lambda p, j: F.coalesce(same(p, F.get(packed, j - 1)), F.lit(False)) | F.coalesce(same(p, F.get(packed, j + 1)), F.lit(False)))
-        places = F.sort_array(F.transform(again, lambda p: p.bitwiseAND(low)))
+        mixed = F.exists(F.transform(packed, lambda p, j: (upper(p) == upper(F.get(packed, j - 1))) & (at(p) != at(F.get(packed, j - 1)))), lambda x: F.coalesce(x, F.lit(False)))
+        by_hash = F.transform(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i")))), lambda x: x["i"])
+        return let(F.when(mixed, by_hash).otherwise(F.transform(packed, lambda p: p.bitwiseAND(low))), lambda order: among(hashes, order))
+
+    def among(hashes: Column, order: Column) -> Column:
+        at = lambda p: F.get(hashes, p.cast("int"))
+        text = lambda p: F.slice(words, p.cast("int") + 1, window)
+        same = lambda p, q: q.isNotNull() & (at(p) == at(q)) & (text(p) == text(q))
+        again = F.filter(order, lambda p, j: F.coalesce(same(p, F.get(order, j - 1)), F.lit(False)) | F.coalesce(same(p, F.get(order, j + 1)), F.lit(False)))
         start = F.struct(F.lit(-window).cast("long").alias("last"), F.lit(0).cast("long").alias("total"))
         step = lambda s, p: F.struct(p.alias("last"), (s["total"] + F.least(F.lit(window).cast("long"), p - s["last"])).alias("total"))
-        return F.aggregate(places, start, step, lambda s: s["total"])
+        return F.aggregate(F.sort_array(again), start, step, lambda s: s["total"])
 
-    windows = F.transform(F.sequence(F.lit(1), size - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, window)))
+    windows = F.transform(F.sequence(F.lit(1), size - (window - 1)), lambda i: hashed(F.slice(words, i, window)))
     return F.when(size > window, let(windows, count)).otherwise(F.lit(0).cast("long"))
 
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from paperloom.llm import license_scan as L
 from paperloom.llm import url_filter as U
 from paperloom.llm.license_scan import BASE, NOTICES, license_scan
-from paperloom.llm.quality_rules import quality_filter, quality_rules
+from paperloom.llm.quality_rules import quality_filter, quality_rules, repeated_words
 from paperloom.llm.sql import ORACLES
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -171,6 +171,25 @@ def test_quality_repeats_equal_brute_force(spark, docs):
     assert got == {i: brute_quality(t)[4] for i, t, _ in rows}
 
 
+def test_quality_repeats_with_hashes_that_share_upper_bits(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    docs = []
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(450)]
+        for _ in range(20):
+            a, b = sorted(rng.sample(range(430), 2))
+            words[b : b + 10] = words[a : a + 10]
+        docs.append((i, " ".join(words)))
+    weak = lambda a: F.pmod(F.xxhash64(a), F.lit(1 << 26))
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string").select("doc_id", F.split("text", " ").alias("w"))
+    got = {r.doc_id: (r.weak, r.strong) for r in rows.select("doc_id", repeated_words(F.col("w"), hashed=weak).alias("weak"), repeated_words(F.col("w")).alias("strong")).collect()}
+    want = {i: brute_quality(t)[4] for i, t in docs}
+    assert {i: strong for i, (_, strong) in got.items()} == want
+    assert sum(weak == want[i] for i, (weak, _) in got.items()) >= 38  # whole hashes of 26 bits may be equal by chance
+
+
 GOOD = " ".join(f"word{i}" for i in range(40))
 SOFT = " ".join(f"word{i}" for i in range(40)) + " " + " ".join(f"word{i}" for i in range(4)) + " $$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$$"
 BAD = "too short"
