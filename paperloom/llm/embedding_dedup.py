@@ -198,8 +198,9 @@ def _compare(rows: pa.Table, cosine: float) -> pa.Table:
 def _fit(groups: DataFrame, cosine: float, sample: int, exact: bool) -> dict[int, Index]:
     """An index for each length of vectors that the sample holds."""
     row = groups.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    label = groups.groupBy("label", F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).groupBy("d").agg(F.max("n")).orderBy(F.desc("max(n)")).limit(1000).collect()
-    largest = {r[0]: r[1] for r in label}
+    sizes = groups.groupBy("label", F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).groupBy("d").agg(F.max("n").alias("n"))
+    # of tables with very many lengths those with the largest labels; the others have the least number of codewords
+    largest = {r["d"]: r["n"] for r in sizes.orderBy(F.desc("n"), "d").limit(1000).collect()}
     codewords = {d: min(max(CODEWORDS, int(np.ceil(np.sqrt(n / CELL_ROWS)))), MOST_CODEWORDS) for d, n in largest.items()}
     wanted = min(max(sample, 16 * max(codewords.values(), default=0)), max(MOST_NUMBERS // (row[1] or 1), 100))
     some = groups.where(hashed_below(F.col("rep"), share_of(wanted, row[0]))).select("rep", "embedding").toArrow()
@@ -240,7 +241,7 @@ def links(groups: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, exact
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 4 * BLOCK):
             for d, b in _by_length(batch):
-                own = indices[d].own(_unit(b.column("embedding"))) if d in indices else np.zeros(b.num_rows)
+                own = indices[d].own(_unit(b.column("embedding"))) if d in indices else np.zeros(b.num_rows, np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(np.full(b.num_rows, d), pa.int32()), pa.array(own, pa.int32())], names=["label", "d", "cell"])
 
     counts = groups.select("label", "embedding").mapInArrow(place, "label string, d int, cell int").groupBy("label", "d", "cell").agg(F.count(F.lit(1)).alias("n"))

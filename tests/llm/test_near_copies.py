@@ -325,6 +325,9 @@ def test_embedding_lengths_of_one_and_mixed(spark):
     schema = "vec_id bigint, embedding array<double>, label string, base string"
     rows = [(1, [2.0], "a", ""), (2, [3.0], "a", ""), (3, [-1.0], "a", ""), (4, [1.0, 0.0], "a", ""), (5, [1.0, 0.01], "a", ""), (6, [1.0, 0.0, 0.0], "a", ""), (7, [1e-200, 0.0], "a", ""), (8, [1e200, 0.0], "a", ""), (9, [2.0], "b", ""), (10, [], "a", "")]
     got = {r.vec_id: (r.n_links, r.component_id) for r in E.embedding_dedup(spark.createDataFrame(rows, schema)).collect()}
+    # lengths that the sample does not hold have one cell
+    few = E.embedding_dedup(spark.createDataFrame(rows, schema), sample=2)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in few.collect()} == got
     assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (3, 4), 5: (3, 4), 6: (0, 6), 7: (3, 4), 8: (3, 4), 9: (0, 9), 10: (0, 10)}
 
 
