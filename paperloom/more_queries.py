@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from paperloom.functions import text as T
 from paperloom.operators import diagnostics as D
@@ -37,8 +38,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kind_blocks(s: SparkSession, d: str) -> DataFrame:
     """Kind, process, subsystem, category and severity of each log block, in Column form."""
     lines = with_lines(kind_log_text(s, d), "supp_id")
-    from pyspark.sql.window import Window
-
     numbered = lines.withColumn("block", F.sum(D.starts_block(F.col("line")).cast("long")).over(Window.partitionBy("supp_id").orderBy("line_no")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     return numbered.groupBy("supp_id", "block").agg(joined.alias("text")).select("supp_id", "block", D.block_kind(T.trimmed(F.col("text"))).alias("k")).select("supp_id", "block", "k.*")
@@ -196,9 +195,9 @@ def completion_order(s: SparkSession, d: str) -> DataFrame:
 
 
 class _Careless(Backend):
-    """Answers with broken JSON until it is told so, and with nothing of use to an odd number's text."""
+    """Answers with broken JSON until it is told so, and to one kind of text with nothing of use."""
 
-    def response(self, prompt, system=None):  # noqa: ANN001, ANN201
+    def response(self, prompt: Column, system: str | None = None) -> Column:
         told = F.contains(prompt, F.lit("not usable JSON"))
         return F.when(F.endswith(prompt, F.lit("purchase")), "nothing").when(told, F.concat(F.lit('```json\n{"kind": "'), F.regexp_extract(prompt, r"(\w+)$", 1), F.lit('"}\n```'))).otherwise('{"kind": ')
 

@@ -43,6 +43,7 @@ def word_token_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def turn_packing(s: SparkSession, d: str) -> DataFrame:
+    """Turns packed by words; the order of a conversation's turns makes them one row of numbers, without their texts."""
     turns = s.read.parquet(f"{d}/conversations.parquet").select("conv_id", F.struct("turn", T.word_count(F.col("text")).alias("n")).alias("t"))
     rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     packed = rows.select("conv_id", F.explode(groups(F.col("turns"), F.col("turns.n"), TARGET)).alias("g"))
