@@ -34,6 +34,8 @@ WAITING = 256
 #: A generation of words whose ids are kept at hand: so many words, or so many bytes of letters and ids. Longer words
 #: than LONG are encoded each time.
 CACHED_WORDS, CACHED_BYTES, LONG = 300_000, 48 << 20, 1000
+#: ASCII signs, which after a letter are split off as one run.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 NAMES = tuple(x.split()[0] for x in SCHEMA.split(", "))
 
@@ -80,9 +82,8 @@ def tokenizer_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
 
     The tokenizer splits at white space before it merges, so texts are cut at blanks and newlines and the ids of
     a word are taken from a bounded cache of two generations. Its normaliser (NFC, letters lowered one by one) and
-    its splitter (runs of letters; signs apart) leave a word of letters whole, so such words go straight to its
-    merges, a capital at the start and a comma or full stop at the end taken off before; all others go through
-    the whole tokenizer.
+    its splitter (runs of letters; runs of signs) leave a word of letters whole, so such words go straight to its
+    merges, a capital at the start and signs at the end taken off before; all others go through the whole tokenizer.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -92,44 +93,66 @@ def tokenizer_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     young: dict[str, bytes] = {}
     old: dict[str, bytes] = {}
-    ends = {x: whole(x) for x in ".,"}
-
-    def encoded(word: str) -> bytes:
-        if not word.isalpha():
-            return whole(word)
-        if word.isascii():
-            text = word.lower()
-        else:
-            normal = unicodedata.normalize("NFC", word)
-            normal = "".join(map(str.lower, normal)) if "Σ" in normal else normal.lower()
-            if not normal.isalpha():
-                return whole(word)
-            text = normal.encode().decode("latin-1").translate(signs)
-        return array("I", [t.id for t in model.tokenize(text)]).tobytes()
-
+    ends: dict[str, bytes] = {}
     held = 0
 
+    def merged(plain: list[str]) -> Iterator[bytes]:
+        """Ids of words of letters that are lowered and written in the tokenizer's signs."""
+        for text in plain:
+            yield array("I", [t.id for t in model.tokenize(text)]).tobytes()
+
+    def encoded(words: list[str]) -> None:
+        """Makes words known: those of letters together, as one text with a word on each line, others one by one."""
+        ascii_, other = [], []
+        for w in words:
+            if w.isalpha():
+                (ascii_ if w.isascii() else other).append(w)
+            else:
+                young[w] = whole(w)
+        young.update(zip(ascii_, merged("\n".join(ascii_).lower().split("\n") if ascii_ else []), strict=True))
+        if other:
+            lines = unicodedata.normalize("NFC", "\n".join(other))
+            lines = "".join(map(str.lower, lines)) if "Σ" in lines else lines.lower()
+            written = lines.encode().decode("latin-1").translate(signs).split(signs[10])
+            for w, line, text in zip(other, lines.split("\n"), written, strict=True):
+                young[w] = next(merged([text])) if line.isalpha() else whole(w)
+
     def learn(words: set[str]) -> None:
         """Makes every one of ``words`` known in the young generation."""
         nonlocal held
+        parted, fresh = [], set()
         for w in words:
-            if (known := old.get(w)) is None:
-                end = ends.get(w[-1:], b"") if w[-2:-1].isalpha() else b""
-                stem = w[:-1] if end else w
-                if "A" <= stem[:1] <= "Z":
-                    stem = stem[0].lower() + stem[1:]
-                if (known := young.get(stem)) is None and (known := old.get(stem)) is None:
-                    known = encoded(stem)
-                young[stem] = known
-                known += end
-            young[w] = known
-            held += 2 * len(w) + len(known)
+            if (known := old.get(w)) is not None:
+                young[w] = known
+                held += 2 * len(w) + len(known)
+                continue
+            stem = w.rstrip(SIGNS)
+            end = w[len(stem) :]
+            if not stem[-1:].isalpha():  # signs beside anything but a letter may belong together
+                stem, end = w, ""
+            if "A" <= stem[:1] <= "Z":
+                stem = stem[0].lower() + stem[1:]
+            if stem is not w and stem != w:
+                parted.append((w, stem, end))
+            if stem not in young:
+                if (known := old.get(stem)) is not None:
+                    young[stem] = known
+                else:
+                    fresh.add(stem)
+        encoded(list(fresh))
+        for w, stem, end in parted:
+            if end not in ends:
+                if len(ends) > 10_000:
+                    ends.clear()
+                ends[end] = whole(end) if end else b""
+            young[w] = young[stem] + ends[end]
+        held += sum(2 * len(w) + len(young[w]) for w in fresh) + sum(2 * len(p[0]) + len(young[p[0]]) for p in parted)
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         nonlocal young, old, held
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(young)
-        long = {w: encoded(w) for w in new if len(w) > LONG}
+        long = {w: whole(w) for w in new if len(w) > LONG}
         learn(new.difference(long))
         known = (lambda w: long[w] if w in long else young[w]) if long else young.__getitem__
         out = [np.frombuffer(b"".join(map(known, words)), "<u4") for words in split]
