@@ -11,15 +11,21 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.functions.text import WORD
 from paperloom.plans.budget import RetryPolicy, TokenCounter
 
 
+#: Prompts -> pairs of a prompt's number and its response, in the order in which the calls come back.
+Asker = Callable[[Sequence[str]], list[tuple[int, str | None]]]
+
+
 class Backend:
     """``context_window_tokens`` and ``counter`` make a backend token-aware."""
 
@@ -36,6 +42,14 @@ class Backend:
         """``responses`` as structs ``(at, text)`` in the order in which the calls come back; here that of the prompts."""
         return F.transform(self.responses(prompts, system, retry, in_flight), lambda s, i: F.struct(i.alias("at"), s.alias("text")))
 
+    def asker(self, system: str | None = None, retry: RetryPolicy | None = None, in_flight: int = 1) -> Asker | None:
+        """``completed`` for a list of prompts in Python, as pairs ``(at, text)``; None for a backend of Columns alone."""
+        return None
+
+    def _answers_as(self, kind: type[Backend]) -> bool:
+        """Whether no subclass of ``kind`` has put Columns of its own in the place of its answers."""
+        return all(getattr(type(self), name) is getattr(kind, name) for name in ("response", "responses", "completed"))
+
     def fragments(self, response: Column) -> Column:
         """The pieces in which a response would arrive; one for a backend that does not stream."""
         return F.array(response)
@@ -50,6 +64,10 @@ class ExtractiveBackend(Backend):
     def response(self, prompt: Column, system: str | None = None) -> Column:
         return F.array_join(F.slice(T.words(prompt), 1, self.words), " ")
 
+    def asker(self, system: str | None = None, retry: RetryPolicy | None = None, in_flight: int = 1) -> Asker | None:
+        most = self.words
+        return (lambda prompts: [(at, " ".join(w[0] for w in islice(WORD.finditer(p), most))) for at, p in enumerate(prompts)]) if self._answers_as(ExtractiveBackend) else None
+
 
 @dataclass
 class CannedBackend(Backend):
@@ -58,6 +76,10 @@ class CannedBackend(Backend):
     def response(self, prompt: Column, system: str | None = None) -> Column:
         return F.lit(self.text)
 
+    def asker(self, system: str | None = None, retry: RetryPolicy | None = None, in_flight: int = 1) -> Asker | None:
+        text = self.text
+        return (lambda prompts: [(at, text) for at in range(len(prompts))]) if self._answers_as(CannedBackend) else None
+
 
 @dataclass
 class StreamingBackend(CannedBackend):
@@ -106,7 +128,8 @@ class PythonBackend(Backend):
     counter: TokenCounter | None = None
     cancelled: Callable[[], bool] | None = None
 
-    def _column(self, prompts: Column, system: str | None, retry: RetryPolicy | None, in_flight: int, in_order: bool = True) -> Column:
+    def _one(self, system: str | None, retry: RetryPolicy | None) -> Callable[[str], str | None]:
+        """One call with its further tries."""
         generate, policy, quiet, cancelled = self.generate, retry or RetryPolicy(), self.on_error == "null", self.cancelled
 
         def call(prompt: str) -> str:
@@ -124,6 +147,24 @@ class PythonBackend(Backend):
                     return None
                 raise
 
+        return one
+
+    def asker(self, system: str | None = None, retry: RetryPolicy | None = None, in_flight: int = 1) -> Asker | None:
+        if not self._answers_as(PythonBackend):
+            return None
+        one = self._one(system, retry)
+
+        def ask(prompts: Sequence[str]) -> list[tuple[int, str | None]]:
+            came: list[tuple[int, str | None]] = []
+            with ThreadPoolExecutor(max(1, in_flight)) as pool:
+                list(pool.map(lambda p: came.append((p[0], one(p[1]))), enumerate(prompts)))
+            return came
+
+        return ask
+
+    def _column(self, prompts: Column, system: str | None, retry: RetryPolicy | None, in_flight: int, in_order: bool = True) -> Column:
+        one = self._one(system, retry)
+
         def ask(pool: ThreadPoolExecutor, prompts: Sequence[str]) -> list:
             if in_order:
                 return list(pool.map(one, prompts))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -101,8 +103,32 @@ class WordCounter(TokenCounter):
         return Py.count(text)
 
 
+#: Words whose counts are kept in a worker, their letters, and the letters of a word that is not kept.
+KNOWN_WORDS, KNOWN_LETTERS, LONG_WORD = 300_000, 8 << 20, 200
+#: Steps that leave no token across white space: normalisers that act on letters one by one or on white space, and a
+#: splitter whose matches hold none and that drops the rest.
+_NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+_SPLITTERS = ({"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},)
+
+
+def counts_words_apart(tokenizer: object) -> bool:
+    """Whether the tokenizer is known to count a text as the sum of what stands between its blanks and newlines."""
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None or tokenizer.truncation or tokenizer.padding or getattr(tokenizer.model, "dropout", None):
+        return False
+    if any(c.isspace() for t in tokenizer.get_added_tokens_decoder().values() for c in t.content) or any(t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values()):
+        return False
+    clean, split = json.loads(tokenizer.normalizer.__getstate__()), json.loads(tokenizer.pre_tokenizer.__getstate__())
+    steps = clean["normalizers"] if clean["type"] == "Sequence" else [clean]
+    first = split["pretokenizers"][0] if split["type"] == "Sequence" else split
+    return all(s in _NORMALIZERS for s in steps) and first in _SPLITTERS
+
+
 class TokenizerCounter(TokenCounter):
-    """Exact counts by a tokenizer file, loaded once in each worker. Whole arrays of texts are counted in Arrow batches."""
+    """Exact counts by a tokenizer file, loaded once in each worker. Whole arrays of texts are counted in Arrow batches.
+
+    A tokenizer that drops white space before it merges counts a text as the sum of its words, whose counts are kept
+    within bounds; any other one counts each text whole.
+    """
 
     by_words = False
 
@@ -110,16 +136,48 @@ class TokenizerCounter(TokenCounter):
         super().__init__()
         self.path = path
         self._tokenizer = None
+        self._known: dict[str, int] = {}
+        self._held, self._apart = 0, False
 
     def __getstate__(self) -> dict:
-        return {"path": self.path, "ratio": self.ratio, "_tokenizer": None}
+        return {"path": self.path, "ratio": self.ratio, "_tokenizer": None, "_known": {}, "_held": 0, "_apart": False}
+
+    def _load(self) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(self.path)
+        self._apart = counts_words_apart(self._tokenizer)
+
+    def _whole(self, text: str) -> int:
+        return len(self._tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _learn(self, words: list[str]) -> dict[str, int]:
+        """Counts of words that are not known; short ones are kept."""
+        if len(self._known) > KNOWN_WORDS or self._held > KNOWN_LETTERS:
+            self._known.clear()
+            self._held = 0
+        counts = {w: len(e.ids) for w, e in zip(words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+        for w in words:
+            if len(w) <= LONG_WORD:
+                self._known[w] = counts[w]
+                self._held += len(w)
+        return counts
 
     def python(self, text: str) -> int:
         if self._tokenizer is None:
-            from tokenizers import Tokenizer
-
-            self._tokenizer = Tokenizer.from_file(self.path)
-        return len(self._tokenizer.encode(text, add_special_tokens=False).ids) if text else 0
+            self._load()
+        if not text or not self._apart:
+            return self._whole(text) if text else 0
+        words = text.replace("\n", " ").split(" ")
+        known = self._known
+        try:
+            return sum(map(known.__getitem__, words))
+        except KeyError:
+            # a copy, as learning may forget what it knew
+            there = {w: known[w] for w in {*words} if w in known}
+            there |= self._learn([w for w in {*words} if w not in there])
+            return sum(map(there.__getitem__, words))
 
     def of_words(self, n: Column) -> Column:
         raise TypeError("tokens do not follow from words")

@@ -22,9 +22,7 @@ from paperloom.operators.tables import BATCH_ROWS, Chunker
 from paperloom.plans import prompts as P
 from paperloom.plans.backends import Backend
 from paperloom.plans.budget import Budgeter, ChainOptions, ContextBudget, fallback_word_target
-
-DEPTH_EXCEEDED = "reduceDepthExceeded"
-NO_RESPONSE = "generationFailed"
+from paperloom.plans.one_pass import DEPTH_EXCEEDED, FIELDS, NO_RESPONSE, WholeRun, exact_cut
 
 
 class ReduceDepthExceeded(RuntimeError):
@@ -112,13 +110,7 @@ def exact_groups(summaries: Column, most: int, fits: Callable[[str], bool]) -> C
     """
 
     def cut(texts: list[str]) -> dict:
-        groups: list[list[str]] = []
-        for t in texts:
-            if groups and len(groups[-1]) < most and fits(P.format_texts([*groups[-1], t])):
-                groups[-1].append(t)
-            else:
-                groups.append([t])
-        return {"last": fits(P.format_texts(texts)), "groups": groups}
+        return {"last": fits(P.format_texts(texts)), "groups": exact_cut(texts, most, fits)}
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for batch, _ in batches:
@@ -172,14 +164,17 @@ class Chain:
         reduce_task = F.lit(reduce_prompt) if hint is None else F.concat(F.lit(reduce_prompt), hint)
         stuff_task = F.lit(task) if hint is None or stuff_prompt is not None else reduce_task
         frame = docs.select("doc_id", T.normalised(F.col("text")).alias("__doc"), stuff_task.alias("__stuff"), reduce_task.alias("__reduce"))
-        frame = frame.withColumn("route", self.route(F.col("__doc"), task, system, options))
-        frame = self._stuffed(frame, system, options)
-        if self.strategy == "stuff":
-            frame = frame.withColumns({"chunks": F.array().cast(f"array<{CHUNK_STRUCT}>")})
+        if self._counts_in_python() and self.backend.asker(system) is not None:
+            frame = self._in_one_pass(frame, map_prompt, reduce_prompt, task, system, options)
         else:
-            frame = with_chunks(frame, self._chunker(map_prompt, system, options), F.when(F.col("route") == "mapReduce", F.col("__doc")))
-        frame = self._mapped(frame, map_prompt, system, options)
-        frame = self._reduced(frame, reduce_prompt, system, options)
+            frame = frame.withColumn("route", self.route(F.col("__doc"), task, system, options))
+            frame = self._stuffed(frame, system, options)
+            if self.strategy == "stuff":
+                frame = frame.withColumns({"chunks": F.array().cast(f"array<{CHUNK_STRUCT}>")})
+            else:
+                frame = with_chunks(frame, self._chunker(map_prompt, system, options), F.when(F.col("route") == "mapReduce", F.col("__doc")))
+            frame = self._mapped(frame, map_prompt, system, options)
+            frame = self._reduced(frame, reduce_prompt, system, options)
         stuffed = F.col("route") == "stuff"
         error = F.when(stuffed, F.when(F.col("__said").isNull(), NO_RESPONSE)).otherwise(F.col("__error"))
         if strict:
@@ -194,6 +189,17 @@ class Chain:
             F.when(stuffed, _whole_chunk(F.col("__doc"))).otherwise(F.col("chunks")).alias("source_chunks"), F.when(stuffed, F.array().cast("array<string>")).otherwise(F.col("__first")).alias("summaries"), metrics.alias("metrics"), "levels",
         )
 
+    def _counts_in_python(self) -> bool:
+        return self.backend.context_window_tokens is not None and not self.backend.counter.by_words
+
+    def _in_one_pass(self, frame: DataFrame, map_prompt: str, reduce_prompt: str, task: str, system: str | None, options: ChainOptions) -> DataFrame:
+        """All steps of a run as one Python function, where each step would need functions, and so workers, of its own."""
+        budgeter = Budgeter.of(self.backend, self.budget) if self.budget is not None else None
+        run = WholeRun(self.strategy, self.backend, self._chunker(map_prompt, system, options), budgeter, map_prompt, reduce_prompt, task, system, options)
+        kinds = {"__in": "bigint", "__out": "bigint", "chunks": f"array<{CHUNK_STRUCT}>", "__first": "array<string>", "levels": "array<int>"}
+        schema = ", ".join([f"doc_id {frame.schema['doc_id'].dataType.simpleString()}", *(f"{c} {kinds.get(c, 'string')}" for c in FIELDS)])
+        return frame.mapInArrow(run.batches, schema)
+
     def _tokens(self, texts: Column) -> Column:
         """Tokens of an array of texts, as a token-aware backend counts them, else 0."""
         if self.backend.context_window_tokens is None:

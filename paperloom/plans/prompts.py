@@ -58,6 +58,26 @@ def format_texts(summaries: list[str]) -> str:
     return "\n\n".join(f"--- Section {i} of {len(summaries)} ---\n{s}" for i, s in enumerate(summaries, 1))
 
 
+def map_text(task: str, chunk: dict, total: int, style: str = "raw") -> str:
+    """``map_prompt`` in Python."""
+    if style == "raw":
+        return task + chunk["text"]
+    place, log, words = chunk["document_location"] or {}, chunk["log_metadata"] or {}, chunk["source_word_range"]
+    pair = lambda r: f"{r['start']}-{r['end']}" if r and r["start"] is not None and r["end"] is not None else None
+    known = {
+        "speaker": ", ".join(chunk["speaker_labels"]) if chunk["speaker_labels"] else None, "time": pair(chunk["timestamp_range"]), "heading": " > ".join(place["heading_path"]) if place.get("heading_path") else None,
+        "block": place.get("primary_block_type"), "pages": pair(place.get("page_range")), "logKind": log.get("kind"), "severity": log.get("severity"),
+    }
+    more = "".join(f' {k}="{v}"' for k, v in known.items() if v is not None)
+    return f'{task}\n\n<source index="{chunk["chunk_index"]}" of="{total}" words="{pair(words)}"{more}>\n{chunk["text"]}\n</source>'
+
+
+def reduce_text(task: str, summaries: list[str], style: str = "raw") -> str:
+    """``reduce_prompt`` in Python."""
+    combined = format_texts(summaries)
+    return task + combined if style == "raw" else f'{task}\n\n<summaries count="{len(summaries)}">\n{combined}\n</summaries>'
+
+
 def reduce_prompt(task: Column | str, summaries: Column, style: str = "raw") -> Column:
     combined = format_summaries(summaries)
     if style == "raw":

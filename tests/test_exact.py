@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from paperloom import more_oracles, more_queries
 from paperloom.functions.text import Py
@@ -201,3 +201,70 @@ def test_query_equals_its_sql(spark, name):
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({more_oracles.ORACLES[name]})").fetchall()
     key = lambda r: tuple(map(repr, r))
     assert sorted((tuple(r) for r in got.select(*columns).collect()), key=key) == sorted(want, key=key) and want
+
+
+class Columns(TokenAwareBackend):
+    """Answers as TokenAwareBackend does, but only as a Column, so that every step of a run is a step of the plan."""
+
+    def response(self, prompt, system=None):
+        return super().response(prompt, system)
+
+
+@pytest.mark.parametrize(("strategy", "style", "budget"), [("adaptive", "raw", ContextBudget.words(900)), ("mapReduce", "delimited", ContextBudget.tokens(200)), ("mapReduce", "raw", None), ("stuff", "delimited", None)])
+def test_one_function_counts_a_whole_run(spark, strategy, style, budget):
+    """A plan has one Python function, whatever its levels, and the results of the plan with a function for each step."""
+    long = " ".join(f"Ana: word{i} sagt {'.' if i % 9 == 0 else 'so'} N{i}" for i in range(700))
+    given = spark.createDataFrame(list(enumerate(["", None, "one two", " ̈x y\r\nz", "un broken " * 90, long, long.replace(".", "x")])), "doc_id bigint, text string")
+    options = ChainOptions(reserved_output_tokens=16, max_reduce_group_size=3, max_reduce_depth=3, prompt_style=style)
+    made = []
+    for kind in (Columns, TokenAwareBackend):
+        chain = Chain(kind(words=12, context_window_tokens=150, counter=TokenizerCounter(PATH)), strategy, SentenceChunker(40), budget)
+        made.append(chain.run(given, "Part: ", "Merge: ", "Whole: ", "sys", options, hint=F.concat(F.lit("of "), F.col("doc_id").cast("string"))))
+    plan = made[1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 0 and plan.count("MapInArrow") == 1
+    rows = [{r.doc_id: r for r in m.collect()} for m in made]
+    assert rows[0] == rows[1] and made[0].schema.simpleString() == made[1].schema.simpleString()
+
+
+def test_one_function_asks_a_python_model(spark):
+    """Failures, null answers and the order of arrival are the same for a model in Python."""
+    def model(prompt, system):
+        if "bad" in prompt:
+            raise ValueError(prompt)
+        time.sleep(0.3 if "slow" in prompt else 0.0)
+        return " ".join(prompt.split()[:4])
+
+    given = spark.createDataFrame([(0, "slow one. Two two. Three three."), (1, "a. B bad. C c."), (2, "")], "doc_id bigint, text string")
+    backend = PythonBackend(model, "null", context_window_tokens=90, counter=TokenizerCounter(PATH))
+    run = lambda kept: {r.doc_id: r for r in Chain(backend, "mapReduce", SentenceChunker(2)).run(given, "m ", "r ", options=ChainOptions(max_concurrent_map_tasks=3, preserve_order=kept)).collect()}
+    kept, came = run(True), run(False)
+    assert list(kept[0].summaries) == ["[Chunk 1] m slow one.", "[Chunk 2] m Two two.", "[Chunk 3] m Three three."] and sorted(came[0].summaries) == list(kept[0].summaries)
+    assert came[0].summaries[-1] == "[Chunk 1] m slow one."
+    assert (kept[1].text, kept[1].error, list(kept[1].summaries)) == (None, "generationFailed", ["[Chunk 1] m a.", None, "[Chunk 3] m C c."]) and (kept[2].text, kept[2].error) == ("", None)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Str", "Σ", "ß", "̈", "'s", "'", "!", "7", " ", "\n", "\t", " ", " ", "\x1c", "\x85", "日", "İ", "é", "<|endoftext|>", "<|", "x" * 300]), max_size=30).map("".join))
+def test_words_counted_apart_are_the_whole_count(text):
+    counter = COUNTER
+    assert counter.python(text) == tokens(text) and counter._apart
+
+
+COUNTER = TokenizerCounter(PATH)
+
+
+def test_known_words_are_bounded(monkeypatch):
+    monkeypatch.setattr("paperloom.plans.budget.KNOWN_WORDS", 20)
+    counter = TokenizerCounter(PATH)
+    text = " ".join(f"w{i % 90}x" for i in range(500))
+    assert all(counter.python(part) == tokens(part) for part in [text[a : a + 200] for a in range(0, 2000, 37)]) and len(counter._known) <= 20 + 90
+    assert counter.python("y" * 5000) == tokens("y" * 5000) and "y" * 5000 not in counter._known
+
+
+def test_other_tokenizers_count_whole_texts(tmp_path):
+    other = Tokenizer.from_file(PATH)
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "t.json"))
+    counter = TokenizerCounter(str(tmp_path / "t.json"))
+    text = "One  two\nthree, don't 12  "
+    assert counter.python(text) == len(other.encode(text, add_special_tokens=False).ids) and not counter._apart
