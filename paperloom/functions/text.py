@@ -189,7 +189,7 @@ def python_class(members: str) -> str:
 
 WORD = re.compile(f"[^{python_class(SPACES)}]+")
 _LINE_END = re.compile(f"[{python_class(NEWLINES)}]")
-_EDGES = re.compile(f"^[{python_class(SPACES)}]+|[{python_class(SPACES)}]+\\Z")
+_EDGES = "".join(c for c in map(chr, range(0x3001)) if not WORD.match(c))
 _BLANK_EDGES = re.compile(f"^[{python_class(BLANKS)}]+|[{python_class(BLANKS)}]+\\Z")
 _CLOCK, _ISO, _SPEAKER = re.compile(CLOCK, re.A), re.compile(ISO_TIME, re.A), re.compile(SPEAKER)
 _TOPICS = tuple(map(re.compile, TOPIC_HEADINGS))
@@ -201,7 +201,7 @@ class Py:
 
     @staticmethod
     def count(text: str) -> int:
-        return sum(1 for _ in WORD.finditer(text))
+        return len(WORD.findall(text))
 
     @staticmethod
     def lines(text: str) -> list[str]:
@@ -209,7 +209,7 @@ class Py:
 
     @staticmethod
     def strip(text: str) -> str:
-        return _EDGES.sub("", text)
+        return text.strip(_EDGES)
 
     @staticmethod
     def strip_blanks(text: str) -> str:

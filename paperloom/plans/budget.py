@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -94,6 +95,14 @@ class TokenCounter:
     def python(self, text: str) -> int:
         return max(1, int(Py.count(text) * self.ratio))
 
+    def at_most(self, text: str, most: int) -> bool:
+        """Whether a text that is not empty counts ``most`` at most."""
+        return self.python(text) <= most
+
+    def after(self, task: str, text: str) -> int:
+        """The count of ``task + text``."""
+        return self.python(task + text) if task + text else 0
+
 
 class WordCounter(TokenCounter):
     def of_words(self, n: Column) -> Column:
@@ -105,22 +114,25 @@ class WordCounter(TokenCounter):
 
 #: Words whose counts are kept in a worker, their letters, and the letters of a word that is not kept.
 KNOWN_WORDS, KNOWN_LETTERS, LONG_WORD = 300_000, 8 << 20, 200
+#: Texts whose counts are kept, and letters from which on one is not.
+KNOWN_TEXTS, KNOWN_TEXT = 400, 10_000
 #: Steps that leave no token across white space: normalisers that act on letters one by one or on white space, and a
-#: splitter whose matches hold none and that drops the rest.
-_NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
-_SPLITTERS = ({"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},)
+#: splitter whose matches are letters alone, a digit or signs without white space.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: How byte-level tokenizers write the bytes that are no printable signs: from U+0100 on in order.
+_WRITTEN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def counts_words_apart(tokenizer: object) -> bool:
     """Whether the tokenizer is known to count a text as the sum of what stands between its blanks and newlines."""
     if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None or tokenizer.truncation or tokenizer.padding or getattr(tokenizer.model, "dropout", None):
         return False
-    if any(c.isspace() for t in tokenizer.get_added_tokens_decoder().values() for c in t.content) or any(t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values()):
+    if any(t.lstrip or t.rstrip or t.single_word or any(map(str.isspace, t.content)) for t in tokenizer.get_added_tokens_decoder().values()):
         return False
-    clean, split = json.loads(tokenizer.normalizer.__getstate__()), json.loads(tokenizer.pre_tokenizer.__getstate__())
-    steps = clean["normalizers"] if clean["type"] == "Sequence" else [clean]
-    first = split["pretokenizers"][0] if split["type"] == "Sequence" else split
-    return all(s in _NORMALIZERS for s in steps) and first in _SPLITTERS
+    return json.loads(tokenizer.normalizer.__getstate__()) == _NORMALIZER and json.loads(tokenizer.pre_tokenizer.__getstate__()) == _SPLITTER
 
 
 class TokenizerCounter(TokenCounter):
@@ -137,47 +149,85 @@ class TokenizerCounter(TokenCounter):
         self.path = path
         self._tokenizer = None
         self._known: dict[str, int] = {}
-        self._held, self._apart = 0, False
+        self._texts: dict[str, int] = {}
+        self._held, self._apart, self._model = 0, False, None
 
     def __getstate__(self) -> dict:
-        return {"path": self.path, "ratio": self.ratio, "_tokenizer": None, "_known": {}, "_held": 0, "_apart": False}
+        return {"path": self.path, "ratio": self.ratio, "_tokenizer": None, "_model": None, "_known": {}, "_texts": {}, "_held": 0, "_apart": False}
 
     def _load(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(self.path)
-        self._apart = counts_words_apart(self._tokenizer)
+        self._model, self._apart = self._tokenizer.model, counts_words_apart(self._tokenizer)
 
     def _whole(self, text: str) -> int:
         return len(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, words: list[str]) -> dict[str, int]:
-        """Counts of words that are not known; short ones are kept."""
+    def _word(self, word: str) -> int:
+        """The count of a word. One of letters goes straight to the merges, without ASCII signs at its end."""
+        stem = word.rstrip(_SIGNS)
+        if not stem[-1:].isalpha() or len(stem) > LONG_WORD:
+            return self._whole(word)
+        if stem.isascii():
+            low = written = stem.lower()
+        else:
+            low = "".join(map(str.lower, unicodedata.normalize("NFC", stem)))
+            written = low.encode().decode("latin-1").translate(_WRITTEN)
+        if not low.isalpha():
+            return self._whole(word)
+        end = word[len(stem) :]
+        if end and end not in self._known:
+            self._known[end] = self._whole(end)
+            self._held += len(end)
+        return len(self._model.tokenize(written)) + (self._known[end] if end else 0)
+
+    def _sum(self, words: list[str]) -> int:
+        """The counts of words, some of which may not be known; all but long ones are kept."""
         if len(self._known) > KNOWN_WORDS or self._held > KNOWN_LETTERS:
             self._known.clear()
             self._held = 0
-        counts = {w: len(e.ids) for w, e in zip(words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
-        for w in words:
+        known, long = self._known, {}
+        for w in set(words).difference(known):
+            n = self._word(w)
             if len(w) <= LONG_WORD:
-                self._known[w] = counts[w]
+                known[w] = n
                 self._held += len(w)
-        return counts
+            else:
+                long[w] = n
+        return sum(long[w] if w in long else known[w] for w in words) if long else sum(map(known.__getitem__, words))
 
     def python(self, text: str) -> int:
         if self._tokenizer is None:
             self._load()
         if not text or not self._apart:
             return self._whole(text) if text else 0
+        if (found := self._texts.get(text)) is not None:
+            return found
         words = text.replace("\n", " ").split(" ")
-        known = self._known
         try:
-            return sum(map(known.__getitem__, words))
+            found = sum(map(self._known.__getitem__, words))
         except KeyError:
-            # a copy, as learning may forget what it knew
-            there = {w: known[w] for w in {*words} if w in known}
-            there |= self._learn([w for w in {*words} if w not in there])
-            return sum(map(there.__getitem__, words))
+            found = self._sum(words)
+        if len(text) < KNOWN_TEXT:
+            if len(self._texts) >= KNOWN_TEXTS:
+                self._texts.clear()
+            self._texts[text] = found
+        return found
+
+    def at_most(self, text: str, most: int) -> bool:
+        """Of a long text the first words are enough if they are too many already."""
+        if self._tokenizer is None:
+            self._load()
+        end = max(text.find(" ", 8 * max(0, most) + 1000), 0) if self._apart else 0
+        return not (end and self.python(text[:end]) > most) and self.python(text) <= most
+
+    def after(self, task: str, text: str) -> int:
+        """A task that ends with a blank or newline is counted by itself, so that the text's own count serves again."""
+        if self._tokenizer is None:
+            self._load()
+        return self.python(task) + self.python(text) if self._apart and task[-1:] in (" ", "\n") else self.python(task + text)
 
     def of_words(self, n: Column) -> Column:
         raise TypeError("tokens do not follow from words")
@@ -235,7 +285,8 @@ class Budgeter:
 
     def fits_text(self, system_prompt: str | None, task: str, text: str, reserved_tokens: int) -> bool:
         """``fits`` in Python."""
-        return self.count_text(system_prompt or "") + self.units(reserved_tokens) + self.count_text(task) + self.count_text(text) <= self.limit
+        left = self.limit - self.count_text(system_prompt or "") - self.units(reserved_tokens) - self.count_text(task)
+        return self.counter.at_most(text, left) if text else left >= 0
 
     def available(self, system_prompt: str | None, task: str, reserved_tokens: int, safety_tokens: int = SAFETY_TOKENS) -> int:
         used = self.count_text(system_prompt or "") + self.count_text(task) + self.units(reserved_tokens) + self.units(safety_tokens)

@@ -74,16 +74,16 @@ class WholeRun:
         once, mapped, again = self.backend.asker(self.system), self.backend.asker(self.system, options.retry, options.max_concurrent_map_tasks), self.backend.asker(self.system, options.retry)
         out = dict.fromkeys(FIELDS) | {"route": self.route(text), "__in": 0, "__out": 0, "chunks": [], "__first": [], "levels": []}
 
-        def ask(asker: Callable, prompts: list[str]) -> list[tuple[int, str | None]]:
+        def ask(asker: Callable, prompts: list[str], n_tokens: int | None = None) -> list[tuple[int, str | None]]:
             came = asker(prompts)
-            out["__in"] += _total(counter, prompts)
+            out["__in"] += _total(counter, prompts) if n_tokens is None else n_tokens
             out["__out"] += _total(counter, [s for _, s in came])
             return came
 
         if out["route"] == "stuff":
             return out | {"__doc": text, "__said": ask(once, [P.stuff_text(stuff_task, text, options.prompt_style)])[0][1]}
         chunks = out["chunks"] = list(self.chunker.chunks(text)) if text else []
-        came = ask(mapped, [P.map_text(self.map_prompt, c, len(chunks), options.prompt_style) for c in chunks])
+        came = ask(mapped, [P.map_text(self.map_prompt, c, len(chunks), options.prompt_style) for c in chunks], sum(counter.after(self.map_prompt, c["text"]) for c in chunks) if options.prompt_style == "raw" else None)
         if options.preserve_order:
             came = sorted(came, key=lambda c: c[0])
         now = out["__first"] = [None if s is None else f"[Chunk {at + 1}] {s}" for at, s in came]
