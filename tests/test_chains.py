@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from paperloom import queries as Q
 from paperloom.functions import text as T
 from paperloom.functions.schema import CHUNK_STRUCT
 from paperloom.operators.documents import SentenceChunker
@@ -316,3 +317,51 @@ def test_readers(spark, tmp_path):
     assert tuple(R.read_json(spark, f"{tmp_path}/b.json", "id", "body").first()) == ("7", "x")
     R.write(R.from_strings(spark, ["p", "q"]), f"{tmp_path}/t")
     assert R.read_table(spark, f"{tmp_path}/t").count() == 2
+
+
+def brute_adaptive(text):
+    """Route, text, chunks, calls of each level of ``adaptive_summary`` for one text, as the reference's MapReduceChain goes."""
+    count, first, task = (lambda t: len(t.split())), (lambda t: " ".join(t.split()[:20])), Q.REDUCE_TASK
+    shown = lambda g: "\n\n".join(f"--- Section {i} of {len(g)} ---\n{s}" for i, s in enumerate(g, 1))
+    fits = lambda g: 3 + 384 + count(shown(g)) <= 900
+    label = lambda s: s[s.index(" ") + 1 : s.index("]")]
+
+    def packed(target):
+        groups = []
+        for sentence in text.replace(". ", ".\n").split("\n"):
+            if groups and count(" ".join([*groups[-1], sentence])) <= target:
+                groups[-1].append(sentence)
+            else:
+                groups.append([sentence])
+        return [" ".join(g) for g in groups]
+
+    if 1 + 384 + count(text) <= 900:
+        return "stuff", first(Q.STUFF_TASK + text), 0, []
+    chunks = packed(120)
+    if max(map(count, chunks)) > 900 - 3 - 384 - 96:
+        chunks = packed(900 - 3 - 384 - 96)
+    now, calls = [f"[Chunk {i}] {first(Q.MAP_TASK + c)}" for i, c in enumerate(chunks, 1)], []
+    while not fits(now):
+        groups = []
+        for s in now:
+            if groups and len(groups[-1]) < 8 and fits([*groups[-1], s]):
+                groups[-1].append(s)
+            else:
+                groups.append([s])
+        calls.append(len(groups))
+        now = [f"[Chunks {label(g[0])}-{label(g[-1])}] {first(task + shown(g))}" for g in groups]
+    return "mapReduce", first(task + shown(now)), len(chunks), [*calls, 1]
+
+
+def test_adaptive_queries_cut_anew_and_reduce_as_deep_as_needed(spark, tmp_path):
+    """A sentence too long for a map prompt has the whole text cut anew, and 150 chunks take three levels."""
+    texts = [words(20) + ".", " ".join([words(60, "N") + "."] * 5 + [words(430, "N") + "."] + [words(60, "N") + "."] * 5), " ".join([words(110, "N") + "."] * 160)]
+    docs(spark, *texts).write.parquet(f"{tmp_path}/documents.parquet")
+    want = [brute_adaptive(t) for t in texts]
+    assert [(w[0], w[2], w[3]) for w in want] == [("stuff", 0, []), ("mapReduce", 3, [1]), ("mapReduce", 160, [20, 3, 1])]
+    rows = Q.QUERIES["adaptive_summary"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.route, r.text, r.n_chunks, r.n_reduce, r.error) for r in rows] == [(w[0], w[1], w[2], sum(w[3]), None) for w in want]
+    metrics = {r.route: (r.n_docs, r.n_chunks, r.n_map, r.n_reduce) for r in Q.QUERIES["chain_metrics"](spark, str(tmp_path)).collect()}
+    assert metrics == {"stuff": (1, 0, 0, 0), "mapReduce": (2, 163, 163, 25)}
+    steps = {(r.doc_id, r.phase): r.n for r in Q.QUERIES["run_events"](spark, str(tmp_path)).where("type = 'progress'").collect()}
+    assert steps == {(0, "stuffing"): 1, (1, "mapping"): 3, (1, "reducing"): 1, (2, "mapping"): 160, (2, "reducing"): 24} | {(i, "complete"): 1 for i in range(3)}
